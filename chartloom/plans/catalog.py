@@ -1,3 +1,11 @@
 """Imports every module that registers queries."""
 
-from chartloom.plans import q_labels, q_sampling  # noqa: F401
+from chartloom.plans import (  # noqa: F401
+    q_labels,
+    q_metrics,
+    q_profile,
+    q_quality,
+    q_resolve,
+    q_sampling,
+    q_sources,
+)
