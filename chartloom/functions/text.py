@@ -36,12 +36,17 @@ def clean_one(text: Column) -> Column:
 
 def clean_text_list(texts: Column) -> Column:
     """Cleaned, non-empty texts; of texts equal but for case only the first stays."""
-    cleaned = F.filter(F.transform(texts, clean_one), lambda t: t != "")
-    lowered = F.transform(cleaned, F.lower)
-    # array_distinct keeps first occurrences, so its entries mark the kept positions
-    return F.transform(
-        F.array_distinct(lowered), lambda key: F.element_at(cleaned, F.array_position(lowered, key).cast("int"))
+    entries = F.transform(
+        texts, lambda t, i: F.struct(F.lower(clean_one(t)).alias("key"), i.alias("i"), clean_one(t).alias("text"))
     )
+    ordered = F.array_sort(F.filter(entries, lambda e: e["key"] != ""))
+    # wrapping the sorted list in an array binds it once instead of once per element
+    first = F.transform(
+        F.array(ordered),
+        lambda lst: F.filter(lst, lambda e, j: (j == 0) | (e["key"] != F.get(lst, j - 1)["key"])),
+    )[0]
+    by_place = F.array_sort(F.transform(first, lambda e: F.struct(e["i"].alias("i"), e["text"].alias("text"))))
+    return F.transform(by_place, lambda e: e["text"])
 
 
 def extract_numbers(text: Column) -> Column:

@@ -8,4 +8,5 @@ from chartloom.plans import (  # noqa: F401
     q_resolve,
     q_sampling,
     q_sources,
+    q_tokens,
 )

@@ -135,8 +135,8 @@ FROM (
 """
 _SPARK_TOKENS = _TOKENS % (
     "CAST(conv(substring(md5(conv_id || '-' || turn || '-' || p), 1, 4), 16, 10) AS DOUBLE)",
-    "SELECT conv_id, turn, role, p, text FROM {conversations}"
-    " LATERAL VIEW posexplode(split(trim(BOTH ' \n' FROM text), '[ \n]+')) w AS p, text",
+    "SELECT conv_id, turn, role, p, word AS text FROM {conversations}"
+    " LATERAL VIEW posexplode(split(trim(BOTH ' \n' FROM text), '[ \n]+')) w AS p, word",
 )
 _DUCK_TOKENS = _TOKENS % (
     "CAST(CAST('0x' || substring(md5(conv_id || '-' || turn || '-' || p), 1, 4) AS BIGINT) AS DOUBLE)",
