@@ -6,6 +6,7 @@ from chartloom.plans import (  # noqa: F401
     q_profile,
     q_quality,
     q_resolve,
+    q_rules,
     q_sampling,
     q_sources,
     q_tokens,

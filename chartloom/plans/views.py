@@ -116,6 +116,24 @@ SELECT model, epoch, val_metric, seconds FROM (
          round(avg(value) / 500, 6) AS val_metric, round(sum(value) / 1000, 6) AS seconds
   FROM {events} GROUP BY 1, 2
 ) a
+""",
+    # one row per order with the measurements that rule sets read
+    "rule_inputs": r"""
+SELECT id, truth,
+CAST((cust * 3 + id) % 15 AS DOUBLE) AS rectangle_count, CAST((cust * 5 + id) % 11 AS DOUBLE) AS s_bars, CAST((cust * 7 + id) % 9 AS DOUBLE) AS g_bar_count, CAST((cust * 9 + id) % 20 AS DOUBLE) AS circle_count, CAST((cust * 11 + id) % 30 AS DOUBLE) AS s_points, CAST((cust * 13 + id) % 4 AS DOUBLE) AS s_point_clusters, CAST((cust * 15 + id) % 5 AS DOUBLE) AS g_scatter_cluster_count, CAST((cust * 17 + id) % 3 AS DOUBLE) AS s_pie_slices, CAST((cust * 19 + id) % 4 AS DOUBLE) AS g_circle_count, CAST((cust * 21 + id) % 2 AS DOUBLE) AS s_circles_hough, CAST((cust * 23 + id) % 3 AS DOUBLE) AS g_hough_circle_count, CAST((cust * 25 + id) % 7 AS DOUBLE) AS g_line_count, CAST((cust * 27 + id) % 9 AS DOUBLE) AS s_lines, CAST((cust * 29 + id) % 13 AS DOUBLE) AS vertex_count,
+(price % 101) / 101 AS bar_spacing_ratio, (price % 103) / 103 AS bar_alignment_score, (price % 107) / 107 AS g_bar_gap_ratio, (price % 109) / 109 AS g_histogram_uniformity_score, (price % 113) / 113 AS bin_adjacency, (price % 127) / 127 AS g_bin_adjacency_ratio, (price % 131) / 131 AS bin_continuity, (price % 137) / 137 AS g_axis_numeric_density, (price % 139) / 139 AS point_clustering_coefficient, (price % 149) / 149 AS nearest_neighbor_density, (price % 151) / 151 AS g_cluster_compactness, (price % 157) / 157 AS g_line_connectivity_score, (price % 163) / 163 AS g_slope_continuity_score, (price % 167) / 167 AS avg_circularity, (price % 173) / 173 AS arc_detection_score, (price % 179) / 179 AS circular_symmetry, (price % 181) / 181 AS g_circular_symmetry, (price % 191) / 191 AS polyline_continuity, (price % 193) / 193 AS slope_change_frequency, (price % 197) / 197 AS bar_spacing_uniformity, (price % 199) / 199 AS g_width_uniformity, (price % 211) / 211 AS bar_adjacency_score,
+(price % 223) / 223 / 10000 AS scatter_density, (price % 227) / 227 / 20000 AS g_point_density, (price % 229) / 229 / 10 AS radial_edge_density, (price % 233) / 233 / 10 AS line_continuity_score, (price % 239) / 239 / 12 AS g_line_continuity_score, (price % 241) / 241 / 10 AS g_edge_density,
+price % 251 AS bar_height_variance
+FROM {v_pred}
+""",
+    # one row per order with the features of the scaled blends
+    "blend_inputs": r"""
+SELECT id, heuristic_prediction, CAST(yolo_bars AS DOUBLE) AS feature_bar_count, histogram_score AS feature_bin_adjacency_ratio,
+ bar_chart_score AS feature_width_uniformity, price % 977 AS feature_bar_spacing_variance, price % 613 AS feature_bar_height_variance,
+ ml_confidence AS feature_bar_gap_ratio, cnn_confidence AS feature_histogram_uniformity_score, yolo_confidence AS feature_axis_numeric_density,
+ heuristic_confidence AS feature_axis_confidence, (price % 17) / 17 AS numeric_ratio, (price % 19) / 19 AS category_ratio,
+ price % 53 AS slice_angle_variance
+FROM {v_votes}
 """,
 }
 
@@ -155,6 +173,8 @@ _SOURCES = {
     "docs": ("documents", "labels"),
     "epochs": ("events",),
     "tokens": ("conversations",),
+    "rule_inputs": ("v_pred",),
+    "blend_inputs": ("v_votes",),
 }
 
 
