@@ -62,10 +62,10 @@ def centre_form(class_id: Column, box: Box, width: int, height: int) -> Column:
     return F.format_string(
         "%d %.6f %.6f %.6f %.6f",
         class_id,
-        (box[0] + box[2]) / 2 / width,
-        (box[1] + box[3]) / 2 / height,
-        (box[2] - box[0]) / F.lit(width),
-        (box[3] - box[1]) / F.lit(height),
+        F.bround((box[0] + box[2]) / 2 / width, 6),
+        F.bround((box[1] + box[3]) / 2 / height, 6),
+        F.bround((box[2] - box[0]) / F.lit(width), 6),
+        F.bround((box[3] - box[1]) / F.lit(height), 6),
     )
 
 

@@ -1,6 +1,7 @@
 """Imports every module that registers queries."""
 
 from chartloom.plans import (  # noqa: F401
+    q_geometry,
     q_labels,
     q_metrics,
     q_profile,
