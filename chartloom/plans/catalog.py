@@ -4,6 +4,7 @@ from chartloom.plans import (  # noqa: F401
     q_geometry,
     q_labels,
     q_metrics,
+    q_models,
     q_profile,
     q_quality,
     q_resolve,
