@@ -75,7 +75,8 @@ SELECT image_id, seq, kind, x, y, w, h, x2, y2, w * h * (0.3 + disc * 7) AS area
        CAST(w AS DOUBLE) AS r
 FROM (
   SELECT l_orderkey AS image_id,
-         (l_linenumber * 10000000 + l_partkey) * 1000000 + l_suppkey AS seq,
+         ((l_linenumber * CAST(10000000 AS BIGINT) + l_partkey) * 11000000 + CAST(round(l_extendedprice * 100) AS BIGINT)) * 1000
+           + l_suppkey % 1000 AS seq,
          CASE l_partkey % 7 WHEN 0 THEN 'bar' WHEN 1 THEN 'point' WHEN 2 THEN 'line' WHEN 3 THEN 'axis'
               WHEN 4 THEN 'pie_slice' WHEN 5 THEN 'circle' ELSE 'rect' END AS kind,
          CAST((l_linenumber - 1) * 85 + l_partkey % 60 AS INT) AS x,
