@@ -7,9 +7,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# P(Poisson(1) <= k) for k = 0, 1, ... in units of 2^-16
+# P(Poisson(1) <= k) for k = 0, 1, ... in units of 2^-16, as hex digits: four digits of a hash
+# are compared as text, which orders them like numbers and needs no parsing
 _POISSON_CUTS = [
-    int(65536 * math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1))) for k in range(9)
+    f"{int(65536 * math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1))):04x}" for k in range(9)
 ]
 _WORDS_PER_HASH = 8  # an md5 holds eight 16-bit draws
 
@@ -32,15 +33,23 @@ def bootstrap_metric(
     rows = df.select(
         F.col(key).cast("string").alias("_k"), numerator.cast("double").alias("_x"), denominator.cast("double").alias("_y")
     )
+    # three narrow columns are moved so that the heavy fan-out below uses every core
+    rows = rows.repartition(df.sparkSession.sparkContext.defaultParallelism)
     digests = rows.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(hashes - 1)))).select(
         "_i", "_x", "_y", F.md5(F.concat(F.col("_k"), F.lit(f"-{seed}-"), F.col("_i").cast("string"))).alias("_d")
     )
+    draws = digests.select("_i", "_x", "_y", *[F.substring("_d", 4 * w + 1, 4).alias(f"d{w}") for w in range(_WORDS_PER_HASH)])
+    times = {}
+    for w in range(_WORDS_PER_HASH):
+        drawn = F
+        for k, cut in enumerate(_POISSON_CUTS):
+            drawn = drawn.when(F.col(f"d{w}") < cut, F.lit(k))
+        times[f"t{w}"] = drawn.otherwise(F.lit(len(_POISSON_CUTS)))
+    counted = draws.select("_i", "_x", "_y", *[c.alias(n) for n, c in times.items()])
     sums = []
     for w in range(_WORDS_PER_HASH):
-        draw = F.conv(F.substring("_d", 4 * w + 1, 4), 16, 10).cast("int")
-        times = sum((F.when(draw >= cut, 1).otherwise(0) for cut in _POISSON_CUTS[1:]), F.when(draw >= _POISSON_CUTS[0], 1).otherwise(0))
-        sums += [F.sum(times * F.col("_x")).alias(f"x{w}"), F.sum(times * F.col("_y")).alias(f"y{w}")]
-    wide = digests.groupBy("_i").agg(*sums)
+        sums += [F.sum(F.col(f"t{w}") * F.col("_x")).alias(f"x{w}"), F.sum(F.col(f"t{w}") * F.col("_y")).alias(f"y{w}")]
+    wide = counted.groupBy("_i").agg(*sums)
     samples = wide.select(
         "_i",
         F.posexplode(F.array(*[F.struct(F.col(f"x{w}").alias("x"), F.col(f"y{w}").alias("y")) for w in range(_WORDS_PER_HASH)])).alias("w", "s"),

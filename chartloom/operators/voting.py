@@ -80,12 +80,17 @@ def weight_grid() -> list[dict[str, float]]:
     ]
 
 
-def weight_search(df: DataFrame, truth: str = "truth") -> DataFrame:
-    """Accuracy of every grid weighting over rows with a known truth."""
+def weight_search(df: DataFrame, truth: str = "truth", partitions: int | None = None) -> DataFrame:
+    """Accuracy of every grid weighting over rows with a known truth.
+
+    ``partitions`` spreads the votes before the fan-out, for inputs with fewer splits than cores.
+    """
     grid = F.array(
         *[F.struct(F.lit(i).alias("weight_id"), *[F.lit(w[v]).alias(v) for v in VOTERS]) for i, w in enumerate(weight_grid())]
     )
     votes = disambiguate(df.filter(F.col(truth) != UNKNOWN)).select(truth, *[f"{k}_{v}" for k in "pc" for v in VOTERS])
+    if partitions:
+        votes = votes.repartition(partitions)
     fanned = votes.withColumn("_w", F.explode(grid)).select(truth, *[f"{k}_{v}" for k in "pc" for v in VOTERS], "_w.*")
     label, _ = _winner({v: F.col(v) for v in VOTERS})
     scored = fanned.select("weight_id", *VOTERS, (label == F.col(truth)).cast("bigint").alias("_hit"))

@@ -525,7 +525,7 @@ _CUTS = ST._POISSON_CUTS
 
 def _bootstrap_sql(resamples: int) -> str:
     draw = "CAST('0x' || substring(d, 4 * w + 1, 4) AS INT)"
-    times = " + ".join(f"CAST({draw} >= {c} AS INT)" for c in _CUTS)
+    times = " + ".join(f"CAST({draw} >= {int(c, 16)} AS INT)" for c in _CUTS)
     hashes = -(-resamples // 8)
     return f"""WITH h AS (SELECT CAST(truth = pred AS DOUBLE) AS x, i.range AS i, md5(id || '-42-' || i.range) AS d
  FROM v_pred, range({hashes}) i WHERE truth <> 'unknown'),

@@ -272,7 +272,7 @@ s AS (SELECT weight_id, hits / (SELECT count(*) FROM v_votes WHERE truth <> 'unk
 
 @query("weight_search", "R9", sql=oracle("votes", SEARCH_SQL + "SELECT weight_id, accuracy FROM s"))
 def _search(spark, sf):
-    return V.weight_search(view(spark, sf, "votes")).select("weight_id", "accuracy")
+    return V.weight_search(view(spark, sf, "votes"), partitions=spark.sparkContext.defaultParallelism).select("weight_id", "accuracy")
 
 
 @query(
@@ -286,7 +286,7 @@ def _search(spark, sf):
     ),
 )
 def _picked(spark, sf):
-    return V.pick_weights(V.weight_search(view(spark, sf, "votes")), 0.4).select("weight_id", "accuracy")
+    return V.pick_weights(V.weight_search(view(spark, sf, "votes"), partitions=spark.sparkContext.defaultParallelism), 0.4).select("weight_id", "accuracy")
 
 
 @query("best_weights_vote", "R10")

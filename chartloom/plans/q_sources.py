@@ -83,3 +83,62 @@ def _provenance(spark, sf):
     path = tables.scratch_path(spark, "provenance")
     tables.append_provenance(tables.provenance(spark, 42, print_, {"train_ratio": 0.7, "balance": True}), path)
     return spark.read.json(path)
+
+
+def _probed(spark, sf):
+    """Image headers as the probe would report them; some files count as undecodable."""
+    broken = F.col("url").contains("spam") | F.col("url").endswith("#top")
+    size = lambda v: F.when(broken, 0).otherwise(v).cast("int")
+    return view(spark, sf, "images").select(
+        F.concat(F.lit("/p/"), F.col("image_id")).alias("path"), "image_name", L.infer_label(F.col("image_name")).alias("label"),
+        size(F.lit(640)).alias("width"), size(F.lit(480)).alias("height"), "file_size", broken.cast("int").alias("is_corrupt"),
+    )
+
+
+PROBED_SQL = """WITH p AS (SELECT image_id, image_name, CAST(url LIKE '%spam%' OR url LIKE '%#top' AS INT) AS bad,
+ CASE WHEN image_name LIKE '%bar%' THEN 'bar_chart' WHEN image_name LIKE '%hist%' THEN 'histogram' WHEN image_name LIKE '%line%' THEN 'line_chart'
+ WHEN image_name LIKE '%scatter%' THEN 'scatter_plot' WHEN image_name LIKE '%pie%' THEN 'pie_chart' ELSE 'unknown' END AS label FROM v_images)
+"""
+
+
+@query(
+    "invalid_references",
+    "S5",
+    sql=oracle("images", PROBED_SQL + "SELECT '/p/' || image_id AS path FROM p WHERE bad = 1 UNION ALL SELECT '/q/' || image_id FROM p WHERE label = 'unknown'"),
+)
+def _invalid(spark, sf):
+    probed = _probed(spark, sf)
+    gone = probed.filter(F.col("label") == L.UNKNOWN).select(F.regexp_replace("path", "^/p/", "/q/").alias("path"))
+    return files.invalid_references(probed.select("path").unionByName(gone), probed)
+
+
+@query(
+    "verify_and_balance",
+    "X9",
+    sql=oracle(
+        "images",
+        PROBED_SQL
+        + """, k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY image_name, '/p/' || image_id) AS r, count(*) OVER (PARTITION BY label) AS n FROM p WHERE bad = 0 AND label <> 'unknown')
+SELECT '/p/' || image_id AS path, label FROM k WHERE r <= (SELECT min(n) FROM k)""",
+    ),
+)
+def _verified(spark, sf):
+    return files.verify_and_balance(_probed(spark, sf))[1].select("path", "label")
+
+
+@query(
+    "verification_summary",
+    "X9",
+    "A20",
+    sql=oracle(
+        "images",
+        PROBED_SQL
+        + """, c AS (SELECT label, count(*) AS n FROM p WHERE bad = 0 AND label <> 'unknown' GROUP BY 1)
+SELECT count(*) AS total_images, CAST(sum(bad) AS BIGINT) AS corrupt, count(*) FILTER (label = 'unknown') AS unknown_labels,
+ (SELECT string_agg(label || ':' || n, ',' ORDER BY label) FROM c) AS class_counts, (SELECT min(n) FROM c) AS per_class, count(*) >= 100 AS meets_target FROM p""",
+    ),
+)
+def _verification(spark, sf):
+    summary = files.verify_and_balance(_probed(spark, sf), target_total=100)[2]
+    text = F.transform(F.array_sort(F.map_entries("class_counts")), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string")))
+    return summary.withColumn("class_counts", F.array_join(text, ","))
