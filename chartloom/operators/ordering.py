@@ -184,7 +184,9 @@ def exact_quantiles(
             return F.col("_min")
         if bound == 1.0:
             return F.col("_max")
-        return F.col("_e")[edges.index(bound)]
+        # a small group is its own bracket; in larger ones the slack spans several ranks
+        whole = F.col("_min") if sign < 0 else F.col("_max")
+        return F.when(F.col("_n") <= accuracy, whole).otherwise(F.col("_e")[edges.index(bound)])
 
     brackets = sketch.select(
         *groups,

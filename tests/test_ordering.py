@@ -55,5 +55,9 @@ def test_exact_quantiles(spark):
         got = {(r["g"], r["q"]): r["quantile"] for r in O.exact_quantiles(df, ["g"], value, [0.0, 0.25, 0.5, 1.0]).collect()}
         for (g, q), have in got.items():
             assert abs(have - np.percentile([r[value] for r in rows if r["g"] == g], q * 100)) < 1e-12
+    # a coarse sketch makes the groups large in its terms, so the brackets are really used
+    for p in (0.25, 0.5, 0.9):
+        got = O.exact_quantiles(df, [], "v", [p], accuracy=100).first()["quantile"]
+        assert abs(got - np.percentile([r["v"] for r in rows], p * 100)) < 1e-12
     whole = O.exact_quantiles(df, [], "v", [0.5]).first()["quantile"]
     assert abs(whole - np.median([r["v"] for r in rows])) < 1e-12
