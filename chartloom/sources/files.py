@@ -21,10 +21,8 @@ def scan_files(
     The content column is not selected, so file bodies are never read.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    if not recursive:
-        reader = reader.option("pathGlobFilter", "*")
-    files = reader.load(root if recursive else f"{root.rstrip('/')}/*")
-    out = files.select(
+    # without recursive lookup only the direct children of the folder are listed
+    out = reader.load(root).select(
         "path",
         L.base_name(F.col("path")).alias("name"),
         F.col("length").alias("file_size"),
@@ -84,7 +82,8 @@ def unify(scans: dict[str, DataFrame]) -> DataFrame:
 def probe_images(spark: SparkSession, root: str, extensions: Sequence[str] = (".png", ".jpg", ".jpeg")) -> DataFrame:
     """width, height, file_size and is_corrupt per image; undecodable files read 0 x 0."""
     decoded = spark.read.format("image").option("dropInvalid", False).load(root).select(
-        F.col("image.origin").alias("path"),
+        # the two sources write local paths with a different number of slashes
+        F.regexp_replace("image.origin", "^file:/+", "file:/").alias("path"),
         F.greatest(F.col("image.width"), F.lit(0)).alias("width"),
         F.greatest(F.col("image.height"), F.lit(0)).alias("height"),
     )
