@@ -144,7 +144,7 @@ def test_trigram_queries():
 
 
 def test_spans_on_given_documents(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     kinds = [r.kind for r in secret_scan.RULES]
     got = secret_scan.digest_columns(secret_scan.scan(docs)).collect()
     texts = {r.doc_id: r.text for r in docs.collect()}
