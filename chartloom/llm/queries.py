@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chartloom.llm import bpe, packing, rules, secret_scan
+from chartloom.llm import bpe, packing, rules, secret_scan, warc
+from chartloom.sources.tables import scratch_path
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +29,10 @@ def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(_read(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read(warc.write(_read(spark, sf_dir, "pages"), scratch_path(spark, "warc")))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest_columns(secret_scan.scan(_read(spark, sf_dir, "documents")))
 
@@ -36,7 +41,17 @@ QUERIES: dict[str, Plan] = {
     "op1_bpe": op1_bpe,
     "op4_packing": op4_packing,
     "op8_rules": op8_rules,
+    "op9_warc": op9_warc,
     "op10_secrets": op10_secrets,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op9_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha256(html) AS payload_digest FROM p),
+        f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY 1)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN first <> page_id THEN first END AS refers_to
+        FROM d LEFT JOIN f USING (payload_digest)""",
+}
