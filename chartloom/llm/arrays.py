@@ -189,3 +189,15 @@ def repeats(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     later, twice = np.empty(len(keys), bool), np.empty(len(keys), bool)
     later[order], twice[order] = same[:-1], same[:-1] | same[1:]
     return later, twice
+
+
+def occurrence(keys: np.ndarray) -> np.ndarray:
+    """For each key: how many equal ones come before it."""
+    order = np.argsort(keys, kind="stable")
+    k = keys[order]
+    head = np.ones(len(k), bool)
+    head[1:] = k[1:] != k[:-1]
+    at = np.arange(len(k))
+    out = np.empty(len(k), np.int64)
+    out[order] = at - np.maximum.accumulate(np.where(head, at, 0)) if len(k) else at
+    return out

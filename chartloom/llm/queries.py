@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chartloom.llm import bpe, packing, rules, secret_scan, warc
+from chartloom.llm import bpe, packing, rules, secret_scan, toxicity, warc
 from chartloom.sources.tables import scratch_path
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.learn_and_score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), "toxic", 3, 1, 0.7)
+
+
 def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(_read(spark, sf_dir, "documents"), ["doc_id"])
 
@@ -40,6 +44,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Plan] = {
     "op1_bpe": op1_bpe,
     "op4_packing": op4_packing,
+    "op6_toxicity": op6_toxicity,
     "op8_rules": op8_rules,
     "op9_warc": op9_warc,
     "op10_secrets": op10_secrets,
