@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chartloom.llm import bpe, packing, quality_knn, rules, secret_scan, toxicity, warc
+from chartloom.llm import bpe, minhash, packing, quality_knn, rules, secret_scan, toxicity, warc
 from chartloom.sources.tables import scratch_path
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.with_next(_read(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.learn_and_score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), "toxic", 3, 1, 0.7)
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Plan] = {
     "op1_bpe": op1_bpe,
     "op3_quality": op3_quality,
     "op4_packing": op4_packing,
+    "op5_fingerprints": op5_fingerprints,
     "op6_toxicity": op6_toxicity,
     "op8_rules": op8_rules,
     "op9_warc": op9_warc,
