@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chartloom.llm import bpe, minhash, packing, quality_knn, rules, secret_scan, toxicity, warc
+from chartloom.llm import bpe, lines, minhash, packing, quality_knn, rules, secret_scan, toxicity, warc
 from chartloom.sources.tables import scratch_path
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.learn_and_score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), "toxic", 3, 1, 0.7)
 
 
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(_read(spark, sf_dir, "documents"), ["doc_id"])
 
@@ -55,12 +59,32 @@ QUERIES: dict[str, Plan] = {
     "op4_packing": op4_packing,
     "op5_fingerprints": op5_fingerprints,
     "op6_toxicity": op6_toxicity,
+    "op7_lines": op7_lines,
     "op8_rules": op8_rules,
     "op9_warc": op9_warc,
     "op10_secrets": op10_secrets,
 }
 
 SQL: dict[str, str] = {
+    "op7_lines": r"""
+        WITH l AS (
+            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                   generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+            FROM documents),
+        s AS (
+            SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k
+            FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+        w AS (
+            SELECT doc_id, k, line AS a, lead(line) OVER p AS b, lead(line, 2) OVER p AS c
+            FROM s WINDOW p AS (PARTITION BY doc_id ORDER BY k)),
+        v AS (SELECT *, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, k) AS nth FROM w WHERE c IS NOT NULL),
+        gone AS (SELECT DISTINCT doc_id, k + d AS k FROM v, (VALUES (0), (1), (2)) t(d) WHERE nth > 1),
+        marked AS (
+            SELECT l.doc_id, l.pos, l.line, gone.k IS NOT NULL AS removed
+            FROM l LEFT JOIN s USING (doc_id, pos) LEFT JOIN gone ON gone.doc_id = s.doc_id AND gone.k = s.k)
+        SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT removed), '') AS text,
+               count(*) AS n_lines, count(*) FILTER (removed) AS n_removed
+        FROM marked GROUP BY doc_id""",
     "op9_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha256(html) AS payload_digest FROM p),
