@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chartloom.llm import bpe, lines, minhash, packing, quality_knn, rules, secret_scan, toxicity, warc
+from chartloom.llm import bpe, jaccard, lines, minhash, packing, quality_knn, rules, secret_scan, toxicity, warc
 from chartloom.sources.tables import scratch_path
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(_read(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_knn.learn_and_score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), "quality", 5, 0, 0.3)
 
@@ -55,6 +59,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Plan] = {
     "op1_bpe": op1_bpe,
+    "op2_jaccard": op2_jaccard,
     "op3_quality": op3_quality,
     "op4_packing": op4_packing,
     "op5_fingerprints": op5_fingerprints,
