@@ -19,10 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chartloom.llm import arrays as A
+from chartloom.llm.labelled import held_out, labelled_sample
 
 BUCKETS, WIDTH, SCALE = 1 << 18, 8, 64.0
 WORD_REPEATS = 4  # occurrences of a word that count, as term weights are damped elsewhere
@@ -123,9 +124,9 @@ def train(bags: Bags, steps: int = STEPS, seed: int = 5) -> tuple[np.ndarray, fl
             p = 1 / (1 + np.exp(-(mean @ w + bias)))
             g = ((p - label[docs]) * np.where(label[docs] > 0, heavy, 1.0) / len(docs)).astype(np.float32)
             step_w, step_b = mean.T @ g, float(g.sum())
-            ids, back = np.unique(use, return_inverse=True)
-            pull = np.bincount(back, share * np.repeat(g, n), minlength=len(ids)).astype(np.float32)
-            step_e = pull[:, None] * w
+            pull = np.bincount(use, share * np.repeat(g, n), minlength=BUCKETS)
+            ids = np.flatnonzero(pull)
+            step_e = pull[ids, None].astype(np.float32) * w
             ge[ids] += (step_e**2).mean(1, keepdims=True)
             e[ids] -= rate * step_e / np.sqrt(ge[ids])
             gw += step_w**2
@@ -138,8 +139,8 @@ def train(bags: Bags, steps: int = STEPS, seed: int = 5) -> tuple[np.ndarray, fl
     return margin, float(bias)
 
 
-def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES) -> tuple[np.ndarray, float]:
-    """Train on ``labelled`` (text, label): up to ``train_rows`` rows, half of each class if there are enough, in hash order."""
+def fit(labelled: DataFrame, train_bytes: int = TRAIN_BYTES) -> tuple[np.ndarray, float]:
+    """Train in one task on a bounded sample (text, label) of one partition, up to about ``train_bytes`` of text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bags, left = Bags(), train_bytes
@@ -152,9 +153,7 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS, train_bytes: int = TR
         margin, bias = train(bags)
         yield pa.RecordBatch.from_pydict({"margin": pa.array([margin.tobytes()], pa.binary()), "bias": [bias]})
 
-    rows = labelled.filter(F.col("label").isNotNull()).select("text", F.col("label").cast("int").alias("label"), F.xxhash64("text").alias("h"))
-    half = [rows.filter(F.col("label") == c).orderBy("h").limit(train_rows // 2) for c in (0, 1)]
-    (found,) = half[0].unionByName(half[1]).orderBy("h").coalesce(1).select("text", "label").mapInArrow(run, "margin binary, bias double").collect() or (None,)
+    (found,) = labelled.mapInArrow(run, "margin binary, bias double").collect() or (None,)
     return (np.frombuffer(found.margin, np.float32), found.bias) if found else (np.zeros(BUCKETS, np.float32), 0.0)
 
 
@@ -175,15 +174,10 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], id_column: str = "do
     return ids.mapInArrow(run, f"id {ids.schema[0].dataType.simpleString()}, score double").withColumnRenamed("id", id_column)
 
 
-def held_out(id_column: Column, folds: int, fold: int) -> Column:
-    """Whether a row may not teach: crc32 of its id as text falls on ``fold``. A null id counts as empty text."""
-    return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % folds == fold
-
-
 def learn_and_score(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, threshold: float, id_column: str = "doc_id") -> DataFrame:
     """Fit on the labelled rows outside ``fold``, score every row: id, held_out, score, predicted."""
-    taught = labels.select(F.col(f"`{id_column}`").alias("id"), F.col(label).alias("label")).filter(~held_out(F.col("id"), folds, fold))
-    model = fit(docs.select(F.col(f"`{id_column}`").alias("id"), "text").join(taught, "id"))
+    taught = labels.filter(~held_out(F.col(f"`{id_column}`"), folds, fold))
+    model = fit(labelled_sample(docs, taught, label, TRAIN_ROWS, id_column))
     return score(docs, model, id_column).select(
         id_column, held_out(F.col(f"`{id_column}`"), folds, fold).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )
