@@ -22,7 +22,9 @@ def dataset_fingerprint(df: DataFrame, columns: Sequence[str], by: Sequence[str]
     than 65536 children, and copies of one row collapse into one leaf.
     """
     by = list(by)
-    leaf = F.sha2(F.concat(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 256)
+    # every value with its length before it, NULL as a mark of its own: no two different rows read alike
+    text = [F.col(c).cast("string") for c in columns]
+    leaf = F.sha2(F.concat(*[F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in text]), 256)
     leaves = df.groupBy(*by, leaf.alias("h")).agg(F.count(F.lit(1)).alias("n"))
 
     def combine(level: DataFrame, entry: Column, digits: int) -> DataFrame:

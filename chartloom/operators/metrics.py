@@ -316,9 +316,10 @@ def roc_curve(df: DataFrame, truth: str, score: str, classes: Sequence[str]) ->
 def roc_auc(df: DataFrame, truth: str, score: str, classes: Sequence[str]) -> DataFrame:
     """Trapezoid area per class. The previous point of a curve is (tp - p, fp - f), so no lag is needed."""
     curve = _score_curve(df, F.col(truth), score, classes)
-    area = F.col("f") * (F.col("tp") + F.col("tp") - F.col("p"))  # twice the trapezoid, in counts
+    wide = lambda c: F.col(c).cast("decimal(19,0)")  # noqa: E731  products of counts pass 64 bits
+    area = wide("f") * (wide("tp") + wide("tp") - wide("p"))  # twice the trapezoid, in counts
     sums = curve.groupBy("class").agg(F.sum(area).alias("_a"), F.max("tp").alias("_P"), F.max("fp").alias("_N"))
-    return sums.select("class", _rate(F.col("_a"), 2 * F.col("_P") * F.col("_N")).alias("auc"))
+    return sums.select("class", _rate(F.col("_a").cast("double"), 2.0 * F.col("_P") * F.col("_N")).alias("auc"))
 
 
 def precision_recall_curve(df: DataFrame, truth: str, score: str, classes: Sequence[str]) -> DataFrame:

@@ -8,6 +8,7 @@ and the result is the same as that of the plain window.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +18,19 @@ from chartloom.session import cut_lineage
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
 _ROW_MASK = (1 << _ROW_BITS) - 1
+BLOCK_ROWS = 1 << 16  # rows of a group that one task ranks
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which NULL keys meet NULL keys; the keys of ``left`` are kept."""
+    keys = list(keys)
+    if not keys:
+        return left.crossJoin(F.broadcast(right))  # without groups the other side is one row
+    other = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(other, same, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def order_hash(key: Column | str, seed: int) -> Column:
@@ -34,15 +48,19 @@ def hash_rank(
     *,
     rank_col: str = "rank",
     size_col: str | None = None,
-    bits: int = 10,
+    bits: int | None = None,
 ) -> DataFrame:
     """1-based rank by (hash, tie) inside each group.
 
     Hash values are uniform, so the top ``bits`` bits cut every group into equal
-    ordered blocks. Only (group, block) counts are needed to turn block-local
-    ranks into group ranks; row_number and the join share one shuffle.
+    ordered blocks; without ``bits`` they are counted from the rows, about BLOCK_ROWS to
+    a block if one group holds them all. Only (group, block) counts are needed to turn
+    block-local ranks into group ranks; row_number and the join share one shuffle.
+    Rows of a NULL group are a group of their own.
     """
     groups = list(groups)
+    if bits is None:
+        bits = min(32, max(1, math.ceil(df.count() / BLOCK_ROWS)).bit_length())
     keyed = df.withColumn("_blk", F.shiftright(F.col(hash_col), 32 - bits).cast("int"))
     counts = keyed.groupBy(*groups, "_blk").agg(F.count(F.lit(1)).alias("_n"))
     by_group = Window.partitionBy(*groups)
@@ -54,7 +72,7 @@ def hash_rank(
         F.sum("_n").over(by_group).alias("_size"),
     )
     local = Window.partitionBy(*groups, "_blk").orderBy(hash_col, tie)
-    ranked = keyed.join(carry, [*groups, "_blk"]).withColumn(
+    ranked = null_safe_join(keyed, carry, [*groups, "_blk"]).withColumn(
         rank_col, (F.row_number().over(local) + F.col("_off")).cast("bigint")
     )
     if size_col:
@@ -93,7 +111,7 @@ def rank_in_group(
     """0-based rank of each row inside its group for an arbitrary unique order."""
     indexed = global_index(df, [*groups, *order], index_col="_idx")
     spans = indexed.groupBy(*groups).agg(F.min("_idx").alias("_first"), F.count(F.lit(1)).alias("_size"))
-    ranked = indexed.join(spans, list(groups)).withColumn(rank_col, F.col("_idx") - F.col("_first"))
+    ranked = null_safe_join(indexed, spans, list(groups)).withColumn(rank_col, F.col("_idx") - F.col("_first"))
     if size_col:
         ranked = ranked.withColumn(size_col, F.col("_size"))
     return ranked.drop("_idx", "_first", "_size")
@@ -119,37 +137,30 @@ def running_totals(
         *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_c_{n}") for n in sums],
     )
     local = Window.partitionBy(*groups, "_pid").orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
-    out = ordered.join(carry, [*groups, "_pid"])
+    out = null_safe_join(ordered, carry, [*groups, "_pid"])
     for name, column in sums.items():
         out = out.withColumn(name, F.sum(column).over(local) + F.col(f"_c_{name}"))
     return out.drop("_mid", "_pid", *[f"_c_{n}" for n in sums])
 
 
-def previous_row(
-    df: DataFrame,
-    group: str,
-    x: str,
-    seq: str,
-    columns: Sequence[str],
-    *,
-    seq_block: int = 4096,
-) -> DataFrame:
+def previous_row(df: DataFrame, group: str, x: str, seq: str, columns: Sequence[str]) -> DataFrame:
     """Add ``prev`` (struct of ``columns``) from the row before in (x, seq) order per group.
 
-    Equivalent to lag() over (group order by x, seq); blocks are (x, seq div seq_block), so a
-    group with very many rows, or very many rows at one x, is spread over tasks.
+    Equivalent to lag() over (group order by x, seq). The rows are range-sorted and written once; inside a partition
+    the window works as usual, and its first row of a group takes the last row of that group from the partition before.
     """
-    keyed = df.withColumn("_sb", F.floor(F.col(seq) / F.lit(seq_block)))
+    ordered = cut_lineage(
+        df.orderBy(group, x, seq).withColumn("_mid", F.monotonically_increasing_id())
+    ).withColumn("_pid", F.shiftright(F.col("_mid"), _ROW_BITS))
     payload = F.struct(*columns)
-    last = keyed.groupBy(group, x, "_sb").agg(F.max_by(payload, F.col(seq)).alias("_last"))
-    carry = last.select(
-        group, x, "_sb", F.lag("_last").over(Window.partitionBy(group).orderBy(x, "_sb")).alias("_carry")
-    )
-    local = Window.partitionBy(group, x, "_sb").orderBy(seq)
+    last = ordered.groupBy(group, "_pid").agg(F.max_by(payload, F.col("_mid")).alias("_last"))
+    # a group lies in neighbouring partitions: at most groups + partitions rows
+    carry = last.select(group, "_pid", F.lag("_last").over(Window.partitionBy(group).orderBy("_pid")).alias("_carry"))
+    local = Window.partitionBy(group, "_pid").orderBy("_mid")
     return (
-        keyed.join(carry, [group, x, "_sb"])
+        null_safe_join(ordered, carry, [group, "_pid"])
         .withColumn("prev", F.coalesce(F.lag(payload).over(local), F.col("_carry")))
-        .drop("_sb", "_carry")
+        .drop("_mid", "_pid", "_carry")
     )
 
 
@@ -199,7 +210,7 @@ def exact_quantiles(
         ).alias("_b"),
     )
     if groups:
-        joined = rows.join(brackets, groups)
+        joined = null_safe_join(rows, brackets, groups)
     else:
         one = brackets.select(F.struct("_n", "_b").alias("_s")).scalar()
         joined = rows.withColumn("_s", one).select("_v", "_s._n", "_s._b")

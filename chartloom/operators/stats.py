@@ -33,8 +33,6 @@ def bootstrap_metric(
     rows = df.select(
         F.col(key).cast("string").alias("_k"), numerator.cast("double").alias("_x"), denominator.cast("double").alias("_y")
     )
-    # three narrow columns are moved so that the heavy fan-out below uses every core
-    rows = rows.repartition(df.sparkSession.sparkContext.defaultParallelism)
     digests = rows.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(hashes - 1)))).select(
         "_i", "_x", "_y", F.md5(F.concat(F.col("_k"), F.lit(f"-{seed}-"), F.col("_i").cast("string"))).alias("_d")
     )
@@ -78,8 +76,8 @@ def mcnemar(df: DataFrame, truth: str, one: str, other: str) -> DataFrame:
     """Discordant counts, continuity-corrected statistic and p-value (chi-square, 1 df)."""
     a, b = F.col(one) == F.col(truth), F.col(other) == F.col(truth)
     counts = df.agg(F.count_if(a & ~b).alias("only_first"), F.count_if(~a & b).alias("only_second"))
-    gap = F.abs(F.col("only_first") - F.col("only_second")) - 1
-    stat = F.coalesce(F.try_divide((gap * gap).cast("double"), (F.col("only_first") + F.col("only_second")).cast("double")), F.lit(0.0))
+    gap = (F.abs(F.col("only_first") - F.col("only_second")) - 1).cast("double")
+    stat = F.coalesce(F.try_divide(gap * gap, (F.col("only_first") + F.col("only_second")).cast("double")), F.lit(0.0))
     with_stat = counts.withColumn("statistic", stat)
     return with_stat.withColumn("p_value", F.pandas_udf(_erfc, "double")(F.sqrt(F.col("statistic") / 2)))
 

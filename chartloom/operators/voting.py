@@ -80,17 +80,12 @@ def weight_grid() -> list[dict[str, float]]:
     ]
 
 
-def weight_search(df: DataFrame, truth: str = "truth", partitions: int | None = None) -> DataFrame:
-    """Accuracy of every grid weighting over rows with a known truth.
-
-    ``partitions`` spreads the votes before the fan-out, for inputs with fewer splits than cores.
-    """
+def weight_search(df: DataFrame, truth: str = "truth") -> DataFrame:
+    """Accuracy of every grid weighting over rows with a known truth."""
     grid = F.array(
         *[F.struct(F.lit(i).alias("weight_id"), *[F.lit(w[v]).alias(v) for v in VOTERS]) for i, w in enumerate(weight_grid())]
     )
     votes = disambiguate(df.filter(F.col(truth) != UNKNOWN)).select(truth, *[f"{k}_{v}" for k in "pc" for v in VOTERS])
-    if partitions:
-        votes = votes.repartition(partitions)
     fanned = votes.withColumn("_w", F.explode(grid)).select(truth, *[f"{k}_{v}" for k in "pc" for v in VOTERS], "_w.*")
     label, _ = _winner({v: F.col(v) for v in VOTERS})
     scored = fanned.select("weight_id", *VOTERS, (label == F.col(truth)).cast("bigint").alias("_hit"))
@@ -125,13 +120,17 @@ def probability_vote(df: DataFrame, maps: dict[str, str], weights: dict[str, flo
             F.map_entries(column), lambda e: F.struct(e["key"].alias("class"), (e["value"] * weight).alias("s"))
         )
 
-    entries = [weighted(column, weights[name]) for name, column in maps.items()]
+    entries = F.concat(*[weighted(column, weights[name]) for name, column in maps.items()])
     keep = [c for c in df.columns if c not in maps.values()]
-    return (
-        df.select(*keep, F.explode(F.concat(*entries)).alias("e"))
-        .groupBy(*keep, F.col("e.class").alias("class"))
-        .agg(F.sum("e.s").alias("score"))
+    # row by row: equal rows stay two rows, and nothing is shuffled
+    scored = F.transform(
+        F.array_distinct(F.transform(F.col("_e"), lambda e: e["class"])),
+        lambda c: F.struct(
+            c.alias("class"),
+            F.aggregate(F.filter(F.col("_e"), lambda e: e["class"] == c), F.lit(0.0), lambda t, e: t + e["s"]).alias("score"),
+        ),
     )
+    return df.withColumn("_e", entries).select(*keep, F.explode(scored).alias("e")).select(*keep, F.col("e.class").alias("class"), F.col("e.score").alias("score"))
 
 
 def top_two_margin(scores: Column) -> Column:

@@ -216,7 +216,7 @@ def _cache_stats(spark, sf):
 def _tree_sql(group: str, source: str) -> str:
     g = f"{group}, " if group else ""
     by = f"GROUP BY {group}" if group else ""
-    return f"""WITH a AS (SELECT {g}sha256(image_name || file_size || mtime) AS h, count(*) AS n FROM {source} GROUP BY ALL),
+    return f"""WITH a AS (SELECT {g}sha256(coalesce(length(image_name) || ':' || image_name, '-') || coalesce(length(CAST(file_size AS VARCHAR)) || ':' || file_size, '-') || coalesce(length(CAST(mtime AS VARCHAR)) || ':' || mtime, '-')) AS h, count(*) AS n FROM {source} GROUP BY ALL),
 b AS (SELECT {g}substring(h, 1, 8) || '=' || sha256(string_agg(h || ':' || n, ',' ORDER BY h || ':' || n)) AS h, sum(n) AS n FROM a GROUP BY {g}substring(h, 1, 8)),
 c AS (SELECT {g}substring(h, 1, 4) || '=' || sha256(string_agg(h, ',' ORDER BY h)) AS h, sum(n) AS n FROM b GROUP BY {g}substring(h, 1, 4))
 SELECT {g}sha256(string_agg(h, ',' ORDER BY h)) AS fingerprint, CAST(sum(n) AS BIGINT) AS rows FROM c {by}"""

@@ -135,7 +135,7 @@ def _even(spark, sf):
 WHERE r <= least(n, greatest(200, least(1000, ceil(n * CAST(0.2 AS DOUBLE)))))""",
 )
 def _capped(spark, sf):
-    return S.capped_prefix(table(spark, sf, "orders").select("o_orderkey"), ["o_orderkey"])
+    return S.capped_prefix(table(spark, sf, "orders").select("o_orderkey"), ["o_orderkey"], least=200, most=1000, share=0.2)
 
 
 @query(

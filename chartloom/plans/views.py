@@ -104,10 +104,10 @@ FROM (
   FROM {orders} GROUP BY 1, 2
 ) a
 """,
-    # one row per labelled document
+    # one row per document, labelled or not
     "docs": r"""
 SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality, l.toxic
-FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id
+FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id
 """,
     # one training epoch per day of events
     "epochs": r"""

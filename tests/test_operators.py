@@ -53,9 +53,13 @@ def test_balance_cap_and_folds(spark):
     assert S.evenly_spaced(df, ["key"], 7).count() == 7
 
 
-def test_allocation():
-    assert S.allocate({"bar": 300, "pie": 100}, 10) == {"bar": 8, "pie": 2}
-    assert S.allocate({"bar": 997, "pie": 1, "line": 2}, 10) == {"bar": 8, "pie": 1, "line": 1}
+def test_allocation(spark):
+    def shares(targets, total):
+        rows = spark.createDataFrame(list(targets.items()), "label string, target bigint")
+        return {r.label: r["count"] for r in S.allocate(rows, "label", "target", total).collect()}
+
+    assert shares({"bar": 300, "pie": 100}, 10) == {"bar": 8, "pie": 2}
+    assert shares({"bar": 997, "pie": 1, "line": 2}, 10) == {"bar": 8, "pie": 1, "line": 1}
 
 
 def test_report_matches_hand_count(spark):

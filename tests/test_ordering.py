@@ -43,7 +43,7 @@ def test_running_totals(spark):
 
 def test_previous_row_with_copies(spark):
     df = _skewed(spark)
-    got = O.previous_row(df, "g", "x", "id", ["v"], seq_block=16)
+    got = O.previous_row(df, "g", "x", "id", ["v"])
     want = df.select("id", F.lag("v").over(Window.partitionBy("g").orderBy("x", "id")).alias("want"))
     assert got.join(want, "id").filter("NOT (prev.v <=> want)").count() == 0
 
