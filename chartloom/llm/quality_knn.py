@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chartloom.llm import arrays as A
-from chartloom.llm.toxicity import held_out
+from chartloom.llm.labelled import held_out, labelled_sample
 
 FEATURES, RANK = 4096, 48
 SAMPLE_ROWS, SAMPLE_BYTES = 4000, 32 << 20
@@ -123,9 +123,9 @@ def fit_model(x: np.ndarray, labels: np.ndarray) -> Model:
     return model
 
 
-def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model:
-    """Model from ``labelled`` (text, label): up to ``sample_rows`` rows in hash order, at most half of them of either class
-    if there are enough. The sample is embedded and decomposed in one task."""
+def fit(labelled: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Model from a bounded sample (text, label) of one partition, up to about ``sample_bytes`` of text, embedded and
+    decomposed in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         xs, ys, left = [], [], sample_bytes
@@ -138,9 +138,7 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int =
         m = fit_model(np.concatenate(xs) if xs else np.zeros((0, FEATURES), np.float32), np.concatenate(ys) if ys else np.zeros(0, np.float32))
         yield pa.RecordBatch.from_pydict({"rank": [m.axes.shape[1]], **{k: pa.array([getattr(m, k).astype(np.float32).tobytes()], pa.binary()) for k in ("weight", "axes", "vectors", "labels")}})
 
-    rows = labelled.filter(F.col("label").isNotNull()).select("text", F.col("label").cast("int").alias("label"), F.xxhash64("text").alias("h"))
-    half = [rows.filter(F.col("label") == c).orderBy("h").limit(sample_rows // 2) for c in (0, 1)]
-    (found,) = half[0].unionByName(half[1]).orderBy("h").coalesce(1).select("text", "label").mapInArrow(run, "rank bigint, weight binary, axes binary, vectors binary, labels binary").collect() or (None,)
+    (found,) = labelled.mapInArrow(run, "rank bigint, weight binary, axes binary, vectors binary, labels binary").collect() or (None,)
     if not found:
         return fit_model(np.zeros((0, FEATURES), np.float32), np.zeros(0, np.float32))
     back = lambda b: np.frombuffer(b, np.float32)
@@ -167,8 +165,8 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id") -> DataFrame
 
 def learn_and_score(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, threshold: float, id_column: str = "doc_id") -> DataFrame:
     """Fit on the labelled rows outside ``fold``, score every row: id, held_out, score, predicted."""
-    taught = labels.select(F.col(f"`{id_column}`").alias("id"), F.col(label).alias("label")).filter(~held_out(F.col("id"), folds, fold))
-    model = fit(docs.select(F.col(f"`{id_column}`").alias("id"), "text").join(taught, "id"))
+    taught = labels.filter(~held_out(F.col(f"`{id_column}`"), folds, fold))
+    model = fit(labelled_sample(docs, taught, label, SAMPLE_ROWS, id_column))
     return score(docs, model, id_column).select(
         id_column, held_out(F.col(f"`{id_column}`"), folds, fold).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )
