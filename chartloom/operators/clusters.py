@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from chartloom.session import cut_lineage
 
-SMALL_IMAGE = 32  # up to this many distinct points an image is labelled inside one row
 
 
 def _linked_cells(points: DataFrame, eps: float, closed: bool, side: int) -> DataFrame:
@@ -76,42 +75,6 @@ def cluster_points(points: DataFrame, eps: float, closed: bool = True) -> DataFr
     ``closed`` joins points at distance exactly eps too.
     """
     merged = cut_lineage(points.groupBy("image_id", "x", "y").agg(F.count(F.lit(1)).alias("n")))
-    sizes = merged.groupBy("image_id").agg(F.count(F.lit(1)).alias("_k"))
-    few = merged.join(sizes.filter(F.col("_k") <= SMALL_IMAGE).select("image_id"), "image_id", "left_semi")
-    many = merged.join(sizes.filter(F.col("_k") > SMALL_IMAGE).select("image_id"), "image_id", "left_semi")
-    small = _small_images(few, eps, closed)
-    return small if many.isEmpty() else small.unionByName(_large_images(many, eps, closed))
-
-
-def _small_images(merged: DataFrame, eps: float, closed: bool) -> DataFrame:
-    """Clusters of images with a handful of points: the smallest label spreads inside one array."""
-    pts = F.sort_array(F.collect_list(F.struct("x", "y", "n")))  # at most SMALL_IMAGE entries
-
-    def near(p, q):
-        dx, dy = p["x"] - q["x"], p["y"] - q["y"]
-        dist = F.sqrt((dx * dx + dy * dy).cast("double"))
-        return dist <= eps if closed else dist < eps
-
-    arrays = merged.groupBy("image_id").agg(pts.alias("p"))
-    # neighbour positions of every point, then as many spreading steps as there are points
-    linked = arrays.select(
-        "image_id",
-        "p",
-        F.transform(
-            "p",
-            lambda q: F.filter(F.sequence(F.lit(0), F.size("p") - 1), lambda j: near(q, F.get("p", j))),
-        ).alias("nb"),
-    )
-    start = F.sequence(F.lit(0), F.size("p") - 1)
-    labels = F.aggregate(
-        start, start, lambda lab, _: F.transform("nb", lambda ids: F.array_min(F.transform(ids, lambda j: F.get(lab, j))))
-    )
-    out = linked.select("image_id", F.explode(F.arrays_zip("p", labels.alias("c"))).alias("e"))
-    return out.select("image_id", "e.p.x", "e.p.y", "e.p.n", F.col("e.c").cast("bigint").alias("cluster"))
-
-
-def _large_images(merged: DataFrame, eps: float, closed: bool) -> DataFrame:
-    """Clusters found on grid cells, for images of any size."""
     # whole pixels: the largest distance inside a cell is (side - 1) * sqrt(2), below eps
     side = max(1, int(eps / 2**0.5 - 1e-9))
     cells = cut_lineage(

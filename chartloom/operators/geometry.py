@@ -19,7 +19,6 @@ from chartloom.session import cut_lineage
 MIN_BAR_AREA, MIN_POINT_AREA, MAX_POINT_AREA = 400, 15, 1200
 MIN_PIE_FRACTION, MAX_PIE_FRACTION = 0.015, 0.75
 AXIS_MARGIN, AXIS_OVERLAP = 12, 0.5
-SMALL_IMAGE = 32  # up to this many distinct points an image is compared pair by pair
 ELEMENT_CLASSES = ["bars", "line_segments", "scatter_points", "pie_slices", "axes", "legend_boxes", "text_regions"]
 KIND_CLASS = {
     "bar": "bars", "line": "line_segments", "point": "scatter_points", "pie_slice": "pie_slices", "axis": "axes",
@@ -344,31 +343,21 @@ def _ring(df: DataFrame, side: int, reach: int) -> DataFrame:
     )
 
 
-def nearest_distances(points: DataFrame, start: int = 8, growth: int = 8, limit: int = 1 << 20) -> DataFrame:
+def nearest_distances(points: DataFrame, start: int = 8, growth: int = 8) -> DataFrame:
     """Distinct points (image_id, x, y, n copies) with the exact distance of the nearest other point.
 
     Copies have distance 0. The others look into the 3 x 3 cells around them; a neighbour within
     one cell side is certainly the nearest. Points without one try again with larger cells. Such
     points lie apart from everything by the previous side, so few of them share a cell and each
-    round stays linear in the number of points.
+    round stays linear in the number of points. The only point of an image has no row.
     """
     merged = cut_lineage(points.groupBy("image_id", "x", "y").agg(F.count(F.lit(1)).alias("n")))
-    sizes = merged.groupBy("image_id").agg(F.count(F.lit(1)).alias("_k"))
-    # images with a handful of points: every point has fewer than SMALL_IMAGE partners
-    few = merged.join(sizes.filter(F.col("_k") <= SMALL_IMAGE).select("image_id"), "image_id", "left_semi")
-    partner = few.select("image_id", F.col("x").alias("ox"), F.col("y").alias("oy"))
-    px, py = (F.col("x") - F.col("ox")).cast("bigint"), (F.col("y") - F.col("oy")).cast("bigint")
-    apart = F.when(F.col("n") > 1, F.lit(0)).otherwise(F.min(F.when(px * px + py * py > 0, px * px + py * py)))
-    done = (
-        few.join(partner, "image_id").groupBy("image_id", "x", "y", "n").agg(apart.cast("bigint").alias("d2")).filter("d2 IS NOT NULL")
-    )
-    merged = merged.join(sizes.filter(F.col("_k") > SMALL_IMAGE).select("image_id"), "image_id", "left_semi")
-    done = done.unionByName(merged.filter("n > 1").withColumn("d2", F.lit(0).cast("bigint")))
-    todo = merged.filter("n = 1")
+    several = merged.groupBy("image_id").agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1").select("image_id")
+    done = merged.filter("n > 1").withColumn("d2", F.lit(0).cast("bigint"))
+    # images of two points or more: every point finds another one as soon as a cell is as wide as the image
+    todo = merged.filter("n = 1").join(several, "image_id", "left_semi")
     side = start
     while not todo.isEmpty():
-        if side > limit:
-            raise ValueError("points lie further apart than the largest canvas")
         cells = merged.select(
             "image_id", F.floor(F.col("x") / side).alias("cx"), F.floor(F.col("y") / side).alias("cy"), F.col("x").alias("ox"), F.col("y").alias("oy")
         )

@@ -177,7 +177,8 @@ def match_tokens(left: DataFrame, right: DataFrame, group_limit: int = 4000) ->
     Left tokens in order take the unused match of highest confidence (first on ties). Images
     up to ``group_limit`` tokens are matched one by one in tasks; larger ones in rounds of joins.
     """
-    left, right = normalized(left), normalized(right)
+    # a missing confidence reads 0, whichever way an image is matched
+    left, right = (normalized(t).withColumn("confidence", F.coalesce("confidence", F.lit(0.0))) for t in (left, right))
     sizes = left.select("image_id").unionAll(right.select("image_id")).groupBy("image_id").agg(F.count(F.lit(1)).alias("_n"))
     large = cut_lineage(sizes.filter(F.col("_n") > group_limit).select("image_id"))
     if large.isEmpty():
@@ -214,24 +215,24 @@ def fuse_tokens(left: DataFrame, right: DataFrame, group_limit: int = 4000) -> D
 def suppress_duplicates(tokens: DataFrame, order: Column) -> DataFrame:
     """One token per image and lower-cased text, at the place of the first in (y1, x1, order).
 
-    The content is that of the most confident copy, the first one on ties.
+    Text, box and engine are those of the most confident copy, the first one on ties.
     """
     place = F.struct(F.col("y1").alias("y"), F.col("x1").alias("x"), order.alias("o"))
     keyed = normalized(tokens).filter(F.col("norm") != "").withColumn("_place", place)
     # negated places would not work for structs: take the best confidence, then its first place
     best = keyed.groupBy("image_id", "norm", "confidence").agg(
-        F.min("_place").alias("first"), F.min_by(F.struct("text", "engine"), F.col("_place")).alias("t")
+        F.min("_place").alias("first"), F.min_by(F.struct("text", "engine", *_BOX), F.col("_place")).alias("t")
     )
     return (
         best.groupBy("image_id", "norm")
         .agg(F.min("first").alias("place"), F.max("confidence").alias("confidence"), F.max_by("t", "confidence").alias("t"))
-        .select("image_id", "norm", "place", "confidence", F.col("t.text").alias("text"), F.col("t.engine").alias("engine"))
+        .select("image_id", "norm", "place", "confidence", F.col("t.text").alias("text"), F.col("t.engine").alias("engine"), *[F.col(f"t.{c}").alias(c) for c in _BOX])
     )
 
 
-def page_text(tokens: DataFrame, band: int = 4096) -> DataFrame:
-    """Text in reading order and mean confidence per image and band of ``band`` pixel rows."""
-    return tokens.groupBy("image_id", F.floor(F.col("place.y") / band).alias("band")).agg(
+def page_text(tokens: DataFrame) -> DataFrame:
+    """Text in reading order, mean confidence and number of tokens per image."""
+    return tokens.groupBy("image_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda t: t["text"]), " ").alias("text"),
         F.avg("confidence").alias("confidence"),
         F.count(F.lit(1)).alias("tokens"),

@@ -126,18 +126,18 @@ def _fused(spark, sf):
 DEDUPE_SQL = """WITH k AS (SELECT *, lower(text) AS norm FROM v_tokens WHERE text <> ''),
 r AS (SELECT *, row_number() OVER (PARTITION BY image_id, norm ORDER BY confidence DESC, y1, x1, pos) AS best,
  row_number() OVER (PARTITION BY image_id, norm ORDER BY y1, x1, pos) AS first FROM k),
-d AS (SELECT image_id, norm, max(text) FILTER (best = 1) AS text, max(confidence) AS confidence, max(y1) FILTER (first = 1) AS y, max(x1) FILTER (first = 1) AS x, max(pos) FILTER (first = 1) AS o FROM r GROUP BY 1, 2)
+d AS (SELECT image_id, norm, max(text) FILTER (best = 1) AS text, max(x1) FILTER (best = 1) AS x1, max(y1) FILTER (best = 1) AS y1, max(x2) FILTER (best = 1) AS x2, max(y2) FILTER (best = 1) AS y2, max(confidence) AS confidence, max(y1) FILTER (first = 1) AS y, max(x1) FILTER (first = 1) AS x, max(pos) FILTER (first = 1) AS o FROM r GROUP BY 1, 2)
 """
 
 
 @query(
     "token_dedupe",
     "J10",
-    sql=oracle("tokens", DEDUPE_SQL + "SELECT image_id, norm, text, confidence, y, x FROM d"),
+    sql=oracle("tokens", DEDUPE_SQL + "SELECT image_id, norm, text, confidence, y, x, x1, y1, x2, y2 FROM d"),
 )
 def _dedupe(spark, sf):
     out = K.suppress_duplicates(view(spark, sf, "tokens"), F.col("pos"))
-    return out.select("image_id", "norm", "text", "confidence", F.col("place.y").alias("y"), F.col("place.x").alias("x"))
+    return out.select("image_id", "norm", "text", "confidence", F.col("place.y").alias("y"), F.col("place.x").alias("x"), "x1", "y1", "x2", "y2")
 
 
 @query(
@@ -146,7 +146,7 @@ def _dedupe(spark, sf):
     sql=oracle(
         "tokens",
         DEDUPE_SQL
-        + "SELECT image_id, CAST(floor(y / 4096) AS BIGINT) AS band, string_agg(text, ' ' ORDER BY y, x, o) AS text, round(avg(confidence), 9) AS confidence, count(*) AS tokens FROM d GROUP BY 1, 2",
+        + "SELECT image_id, string_agg(text, ' ' ORDER BY y, x, o) AS text, round(avg(confidence), 9) AS confidence, count(*) AS tokens FROM d GROUP BY 1",
     ),
 )
 def _page_text(spark, sf):

@@ -82,7 +82,7 @@ def test_duplicates_are_suppressed_once_and_for_all(spark):
     once = K.suppress_duplicates(df, F.col("pos"))
     assert once.groupBy("image_id", "norm").count().filter("count > 1").count() == 0
     again = K.suppress_duplicates(
-        once.select("image_id", "text", "engine", "confidence", F.col("place.y").alias("y1"), F.col("place.x").alias("x1"), F.col("place.o").alias("pos")),
+        once.select("image_id", "text", "engine", "confidence", "x1", "y1", "x2", "y2", F.col("place.o").alias("pos")),
         F.col("pos"),
     )
     assert sorted(map(str, again.drop("place").collect())) == sorted(map(str, once.drop("place").collect()))
