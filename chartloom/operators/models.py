@@ -193,12 +193,18 @@ def grid_search(
     df: DataFrame, label: str, columns: Sequence[str], name: str, grid: dict[str, Sequence], fold: str = "fold", parallelism: int = 4
 ) -> DataFrame:
     """Mean weighted F1 over the given folds for every parameter combination, best first."""
-    data = cut_lineage(encode_labels(df, label).transform(assemble(df, columns)).select("features", "label_index", fold))
-    (model,) = estimator(name)
+    indexer = encode_labels(df, label)
+    classes = len(indexer.labels)
+    data = indexer.transform(assemble(df, columns)).select("features", "label_index", fold)
+    stages = estimator(name, classes)
+    if len(stages) > 1:
+        data = data.withColumns({f"is_{k}": (F.col("label_index") == k).cast("double") for k in range(classes)})
+    data = cut_lineage(data)
+    model = stages[0]  # copies of one model per class share their parameters
     builder = ParamGridBuilder()
     for param, values in grid.items():
         builder = builder.addGrid(model.getParam(param), list(values))
-    pipeline = Pipeline(stages=[StandardScaler(inputCol="features", outputCol="scaled", withMean=True), model])
+    pipeline = Pipeline(stages=[StandardScaler(inputCol="features", outputCol="scaled", withMean=True), *stages])
     maps = builder.build()
     scorer = MulticlassClassificationEvaluator(labelCol="label_index", metricName="f1")
     folds = data.agg(F.max(fold)).first()[0] + 1
@@ -215,19 +221,25 @@ def grid_search(
 
 def importances(trained: Trained) -> DataFrame:
     """Feature importances of trees, mean absolute coefficients of linear models."""
-    core = trained.model.stages[-1]
-    if hasattr(core, "featureImportances"):
-        values = core.featureImportances.toArray()
-    elif hasattr(core, "coefficientMatrix"):
-        values = abs(core.coefficientMatrix.toArray()).mean(axis=0)
-    else:
-        values = []
+    # one-vs-rest models: the stages per class see the features, the last one only their margins
+    inner = [m for m in trained.model.stages[1:-1] if hasattr(m, "featureImportances") or hasattr(m, "coefficients")]
+    shares = []
+    for core in inner or trained.model.stages[-1:]:
+        if hasattr(core, "featureImportances"):
+            shares.append(core.featureImportances.toArray())
+        elif hasattr(core, "coefficientMatrix"):
+            shares.append(abs(core.coefficientMatrix.toArray()).mean(axis=0))
+        elif hasattr(core, "coefficients"):
+            shares.append(abs(core.coefficients.toArray()))
+    values = sum(shares) / len(shares) if shares else []
     rows = [(c, float(v)) for c, v in zip(trained.columns, values)]
     return SparkSession.active().createDataFrame(rows, "feature string, importance double")
 
 
-def top_features(table: DataFrame, k: int = 20) -> DataFrame:
-    return table.select("feature", F.round("importance", 8).alias("importance")).orderBy(F.desc("importance"), "feature").limit(k)
+def top_features(table: DataFrame, k: int | None = None) -> DataFrame:
+    """All features by falling importance, or the first ``k``."""
+    ranked = table.select("feature", F.round("importance", 8).alias("importance")).orderBy(F.desc("importance"), "feature")
+    return ranked if k is None else ranked.limit(k)
 
 
 def permutation_importance(
@@ -257,10 +269,11 @@ def permutation_importance(
     return parts.groupBy("j").agg(F.avg("drop").alias("importance")).select(names[F.col("j")].alias("feature"), "importance")
 
 
-def row_attribution(df: DataFrame, row: Column, columns: Sequence[str], k: int = 10) -> DataFrame:
-    """Largest absolute features of the selected row."""
+def row_attribution(df: DataFrame, row: Column, columns: Sequence[str], k: int | None = None) -> DataFrame:
+    """Absolute features of the selected row, largest first; all of them or the first ``k``."""
     one = df.filter(row).select(*[F.abs(F.col(c).cast("double")).alias(c) for c in columns])
-    return one.unpivot([], list(columns), "feature", "value").orderBy(F.desc("value"), "feature").limit(k)
+    ranked = one.unpivot([], list(columns), "feature", "value").orderBy(F.desc("value"), "feature")
+    return ranked if k is None else ranked.limit(k)
 
 
 def group_ablation(

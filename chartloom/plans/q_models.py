@@ -13,13 +13,8 @@ from chartloom.plans.registry import query
 from chartloom.sources.tables import scratch_path
 
 COLUMNS = [f"feature_{i:02d}" for i in range(64)]
-# small settings keep the registered runs short; the library defaults are the study's
-SMALL = {
-    "logistic_regression": {"maxIter": 20},
-    "random_forest": {"numTrees": 20, "maxDepth": 5},
-    "linear_svm": {"maxIter": 5},
-    "boosted_trees": {"maxIter": 3, "maxDepth": 3},
-}
+# the library defaults are the study's; boosting is cut to fewer rounds because every class trains its own trees
+STUDY = {"logistic_regression": {}, "random_forest": {}, "linear_svm": {}, "boosted_trees": {"maxIter": 20}}
 
 
 def _data(spark, sf):
@@ -33,7 +28,7 @@ def _split(spark, sf):
 
 def _predict(spark, sf, name, **extra):
     train, _, test = _split(spark, sf)
-    trained = ML.fit(train, "label", COLUMNS, name, **SMALL[name], **extra)
+    trained = ML.fit(train, "label", COLUMNS, name, **STUDY[name], **extra)
     return trained.predict(test).select("vec_id", "label", "prediction", "confidence")
 
 
@@ -73,12 +68,12 @@ def _logistic(spark, sf):
 
 @query("forest_predictions", "M5", "M14")
 def _forest(spark, sf):
-    return _predict(spark, sf, "random_forest")
+    return _predict(spark, sf, "random_forest", weighted=True)
 
 
 @query("svm_predictions", "M6")
 def _svm(spark, sf):
-    return _predict(spark, sf, "linear_svm")
+    return _predict(spark, sf, "linear_svm", weighted=True)
 
 
 @query("boosted_predictions", "M7")
@@ -88,43 +83,43 @@ def _boosted(spark, sf):
 
 @query("grid_search", "M8")
 def _grid(spark, sf):
-    df = S.stratified_folds(_data(spark, sf), "label", "vec_id", k=3)
-    return ML.grid_search(df, "label", COLUMNS, "random_forest", {"numTrees": [10, 20], "maxDepth": [3, 5]})
+    df = S.stratified_folds(_data(spark, sf), "label", "vec_id", k=5)
+    return ML.grid_search(df, "label", COLUMNS, "random_forest", {"numTrees": [50, 100], "maxDepth": [5, 10]})
 
 
 @query("out_of_fold_predictions", "M9")
 def _oof(spark, sf):
     df = S.stratified_folds(_data(spark, sf), "label", "vec_id", k=5)
-    out = ML.out_of_fold(df, "label", COLUMNS, "logistic_regression", maxIter=20)
+    out = ML.out_of_fold(df, "label", COLUMNS, "logistic_regression")
     return out.select("vec_id", "label", "prediction", "confidence")
 
 
 @query("model_selection", "M10", "M11")
 def _selection(spark, sf):
     train, val, _ = _split(spark, sf)
-    models = {k: SMALL[k] for k in ("logistic_regression", "random_forest")}
+    models = {k: STUDY[k] for k in ("logistic_regression", "random_forest")}
     return ML.compare(train, val, "label", COLUMNS, models).scores
 
 
 @query("feature_importances", "M12", "T4")
 def _importances(spark, sf):
     train, _, _ = _split(spark, sf)
-    trained = ML.fit(train, "label", COLUMNS, "random_forest", **SMALL["random_forest"])
-    return ML.top_features(ML.importances(trained))
+    trained = ML.fit(train, "label", COLUMNS, "random_forest")
+    return ML.top_features(ML.importances(trained), 20)
 
 
 @query("permutation_importance", "M13")
 def _permutation(spark, sf):
     train, _, test = _split(spark, sf)
-    trained = ML.fit(train, "label", COLUMNS, "logistic_regression", maxIter=20)
-    return ML.permutation_importance(trained, test, "label", "vec_id", repeats=2)
+    trained = ML.fit(train, "label", COLUMNS, "logistic_regression")
+    return ML.permutation_importance(trained, test, "label", "vec_id", repeats=4)
 
 
 @query("saved_model_scores", "M15")
 def _saved(spark, sf):
     train, _, test = _split(spark, sf)
     path = scratch_path(spark, "model")
-    ML.fit(train, "label", COLUMNS, "logistic_regression", maxIter=20).save(path)
+    ML.fit(train, "label", COLUMNS, "logistic_regression").save(path)
     return ML.Trained.load(path).predict(test).select("vec_id", "prediction", "confidence")
 
 
@@ -132,7 +127,7 @@ def _saved(spark, sf):
 def _ablation(spark, sf):
     train, _, test = _split(spark, sf)
     groups = {"geometric": COLUMNS[:32], "ocr": COLUMNS[32:48], "histogram": COLUMNS[48:], "all": COLUMNS}
-    return ML.group_ablation(train, test, "label", groups, "logistic_regression", maxIter=20)
+    return ML.group_ablation(train, test, "label", groups, "logistic_regression")
 
 
 @query(
@@ -145,4 +140,4 @@ SELECT 'feature_' || lpad(CAST(i AS VARCHAR), 2, '0') AS feature, abs(CAST(v AS
 def _attribution(spark, sf):
     df = _data(spark, sf)
     first = df.agg(F.min("vec_id")).scalar()
-    return ML.row_attribution(df, F.col("vec_id") == first, COLUMNS)
+    return ML.row_attribution(df, F.col("vec_id") == first, COLUMNS, 10)
