@@ -20,7 +20,8 @@ def strip(text: Column) -> Column:
 
 
 def normalize_whitespace(text: Column) -> Column:
-    return F.regexp_replace(strip(text), f"{WHITESPACE}+", " ")
+    # collapsed first, the ends are plain spaces and need no second regex
+    return F.trim(F.regexp_replace(text, f"{WHITESPACE}+", " "))
 
 
 def correct_numeric_token(token: Column) -> Column:

@@ -19,6 +19,7 @@ def build_session(master: str | None = None, app: str = "chartloom", **conf: str
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }
     for key, value in settings.items():
@@ -35,7 +36,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     folder = spark.conf.get(CHECKPOINT_CONF, None) or context.getConf().get(CHECKPOINT_CONF, None)
     if not folder:
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):
             raise RuntimeError(f"{CHECKPOINT_CONF} must name a shared folder on a cluster")
         folder = tempfile.mkdtemp(prefix="spark-chartloom-", dir="/tmp")
     context.setCheckpointDir(folder)
