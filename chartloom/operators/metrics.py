@@ -151,21 +151,21 @@ def grouped_accuracy(df: DataFrame, key: str, correct: Column) -> DataFrame:
     )
 
 
-def error_pairs(df: DataFrame, truth: str = "truth", pred: str = "pred", k: int | None = 12) -> DataFrame:
-    """Most frequent (truth, prediction) confusions; equal counts in label order."""
+def error_pairs(df: DataFrame, truth: str = "truth", pred: str = "pred", k: int | None = None) -> DataFrame:
+    """(truth, prediction) confusions, most frequent first, equal counts in label order; all or the first ``k``."""
     wrong = labelled(df, truth).filter(F.col(truth) != F.col(pred))
     out = pair_counts(wrong, truth, pred).orderBy(F.desc("n"), "truth", "pred")
     return out.limit(k) if k else out
 
 
-def error_summary(df: DataFrame, truth: str = "truth", pred: str = "pred", k: int = 12) -> DataFrame:
-    """One row: labelled rows, errors, accuracy, and the k most frequent confusions as text."""
+def error_summary(df: DataFrame, truth: str = "truth", pred: str = "pred", k: int | None = None) -> DataFrame:
+    """One row: labelled rows, errors, accuracy, and the most frequent confusions as text, all or the first ``k``."""
     counts = pair_counts(labelled(df, truth), truth, pred)
     wrong = F.col("truth") != F.col("pred")
     # at most classes^2 entries
-    ranked = F.slice(
-        F.sort_array(F.collect_list(F.when(wrong, F.struct((-F.col("n")).alias("k"), "truth", "pred")))), 1, k
-    )
+    ranked = F.sort_array(F.collect_list(F.when(wrong, F.struct((-F.col("n")).alias("k"), "truth", "pred"))))
+    if k is not None:
+        ranked = F.slice(ranked, 1, k)
     return counts.agg(
         F.sum("n").alias("num_labeled"),
         F.coalesce(F.sum(F.when(wrong, F.col("n"))), F.lit(0)).alias("num_errors"),
@@ -344,21 +344,18 @@ def model_comparison(tables: dict[str, DataFrame], columns: Sequence[str]) -> Da
     )
 
 
-def wrong_predictions(df: DataFrame, truth: str, pred: str, confidence: str, key: str, k: int | None = 20) -> DataFrame:
-    """Misclassified rows, most confident first."""
+def wrong_predictions(df: DataFrame, truth: str, pred: str, confidence: str, key: str, k: int | None = None) -> DataFrame:
+    """Misclassified rows, most confident first; all or the first ``k``."""
     out = df.filter(F.col(truth) != F.col(pred)).orderBy(F.desc(confidence), key)
     return out.limit(k) if k else out
 
 
 def error_sets(df: DataFrame, key: str, truth: str, one: str, other: str) -> DataFrame:
     """Keys on which both predictors fail, only the first, or only the second."""
-    bad_one = df.filter(F.col(one) != F.col(truth)).select(key)
-    bad_other = df.filter(F.col(other) != F.col(truth)).select(key)
-    return (
-        bad_one.intersect(bad_other).withColumn("outcome", F.lit("both_fail"))
-        .unionByName(bad_one.subtract(bad_other).withColumn("outcome", F.lit("only_first_fails")))
-        .unionByName(bad_other.subtract(bad_one).withColumn("outcome", F.lit("only_second_fails")))
-    )
+    wrong = lambda p: F.coalesce(F.col(p) != F.col(truth), F.lit(False))
+    flags = df.groupBy(key).agg(F.bool_or(wrong(one)).alias("_a"), F.bool_or(wrong(other)).alias("_b"))
+    outcome = F.when(F.col("_a") & F.col("_b"), "both_fail").when(F.col("_a"), "only_first_fails").when(F.col("_b"), "only_second_fails")
+    return flags.select(key, outcome.alias("outcome")).filter(F.col("outcome").isNotNull())
 
 
 def hit_counts(df: DataFrame, truth: str, pred: str) -> DataFrame:

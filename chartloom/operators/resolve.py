@@ -98,7 +98,7 @@ def require_resolved(resolved: DataFrame) -> DataFrame:
     return resolved.withColumn("image_path", F.col("resolved_path")).drop("resolved_path", "tier")
 
 
-def duplicate_names(files: DataFrame, path: str = "path", keep: int = 3) -> DataFrame:
+def duplicate_names(files: DataFrame, path: str = "path", *, keep: int) -> DataFrame:
     """File names (case-folded) that occur more than once, with their count and first paths."""
     keyed = files.select(F.lower(L.base_name(F.col(path))).alias("name"), F.col(path).alias("p"))
     repeated = keyed.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
@@ -109,7 +109,7 @@ def duplicate_names(files: DataFrame, path: str = "path", keep: int = 3) -> Data
 
 
 def require_unique_names(files: DataFrame, path: str = "path") -> None:
-    bad = duplicate_names(files, path).orderBy("name").limit(20).collect()
+    bad = duplicate_names(files, path, keep=3).orderBy("name").limit(20).collect()
     if bad:
         raise ValueError("duplicate image file names: " + "; ".join(f"{r['name']}: {r['paths']}" for r in bad))
 

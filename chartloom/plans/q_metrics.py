@@ -164,7 +164,7 @@ def _grouped(spark, sf):
     ),
 )
 def _pairs(spark, sf):
-    return M.error_pairs(view(spark, sf, "pred"))
+    return M.error_pairs(view(spark, sf, "pred"), k=12)
 
 
 @query(
@@ -195,7 +195,7 @@ SELECT (SELECT count(*) FROM e) AS num_labeled, (SELECT count(*) FROM e WHERE tr
     ),
 )
 def _summary(spark, sf):
-    df = M.error_summary(view(spark, sf, "pred"))
+    df = M.error_summary(view(spark, sf, "pred"), k=12)
     return df.withColumn("num_errors", F.col("num_errors").cast("bigint")).withColumn("num_labeled", F.col("num_labeled").cast("bigint"))
 
 

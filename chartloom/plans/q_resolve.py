@@ -102,7 +102,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY p) AS r FROM f)
 SELECT name, count(*) AS n, string_agg(p, ', ' ORDER BY p) FILTER (r <= 3) AS paths FROM r GROUP BY 1 HAVING count(*) > 1""",
 )
 def _duplicates(spark, sf):
-    return R.duplicate_names(table(spark, sf, "pages"), "url")
+    return R.duplicate_names(table(spark, sf, "pages"), "url", keep=3)
 
 
 @query(
