@@ -90,6 +90,33 @@ SQL: dict[str, str] = {
         SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT removed), '') AS text,
                count(*) AS n_lines, count(*) FILTER (removed) AS n_removed
         FROM marked GROUP BY doc_id""",
+    "op8_rules": r"""
+        WITH t AS (
+            SELECT doc_id, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws
+            FROM documents),
+        g AS (
+            SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i], ws[i + 1], ws[i + 2]) AS n
+            FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM t)),
+        r AS (
+            SELECT doc_id, count(DISTINCT i + d) AS n_repeat_words
+            FROM g, (VALUES (0), (1), (2)) v(d) WHERE n > 1 GROUP BY doc_id),
+        l AS (
+            SELECT doc_id, count(*) AS n_full, count(*) - count(DISTINCT line) AS n_dup
+            FROM (SELECT doc_id, unnest(string_split(x, chr(10))) AS line FROM t)
+            WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+        b AS (
+            SELECT t.doc_id, x, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0)::BIGINT AS word_chars,
+                   length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup, 0) AS n_dup_lines,
+                   coalesce(n_full, 0) AS n_full, coalesce(n_repeat_words, 0) AS n_repeat_words,
+                   length(regexp_replace(x, '[^A-Z]', '', 'g')) AS upper, length(regexp_replace(x, '[^a-z]', '', 'g')) AS lower,
+                   length(regexp_replace(x, '[^!]', '', 'g')) AS marks, length(regexp_replace(x, '[^0-9]', '', 'g')) AS digits
+            FROM t LEFT JOIN r USING (doc_id) LEFT JOIN l USING (doc_id)),
+        f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT (base_failed OR 4 * n_symbols > n_words OR upper > lower + upper // 2 OR 3 * marks > n_words
+                    OR 3 * digits > strlen(x) OR (n_full >= 4 AND 2 * n_dup_lines > n_full)
+                    OR strlen(x) > 60 * greatest(n_words, 1)) AS kept
+        FROM f""",
     "op9_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha256(html) AS payload_digest FROM p),
