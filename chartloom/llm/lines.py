@@ -1,14 +1,15 @@
 """Line dedup over overlapping three-line windows.
 
 Lines with a word are numbered within their text. Every run of three consecutive ones is a window, known by its hash. The
-first occurrence of a window over the whole table, by document id and position, stays; the lines that any later
+first occurrence of a window over the whole table, by document id, hash of the text and position, stays; the lines that any later
 occurrence covers go, overlapping windows merging into one stretch. Lines without a word are never counted or removed.
 
 Windows are counted with partial sums before any shuffle; only hashes, ids and positions are shuffled for the search, and
 texts once, to meet the positions to remove.
 
 Defined cases: null text counts as empty and stays null; texts of fewer than three lines with a word have no window; null
-ids come last; rows that share id and text are one document and treated alike; other columns are kept.
+ids come last; rows that share id and text are one document and treated alike, different texts of one id, or without an id,
+are documents of their own; other columns are kept.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ def _solid_lines(s: A.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 
 def windows(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """(h, none, id, pos): one row per window; ``none`` marks null ids."""
+    """(h, none, id, doc, pos): one row per window; ``none`` marks null ids, ``doc`` is the hash of the whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -46,22 +47,22 @@ def windows(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
                 h = A.windows(A.SpanHash(s.buf)(starts, ends), RUN)
                 at = np.flatnonzero(row[: len(row) - RUN + 1] == row[RUN - 1 :])
                 first = np.searchsorted(row, np.arange(s.rows))
-                ids = batch.column(0).take(pa.array(row[at] + s.lo))
-                yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), ids, pa.array((at - first[row[at]]).astype(np.int32))], names=["h", "id", "pos"])
+                ids, docs_of = (batch.column(c).take(pa.array(row[at] + s.lo)) for c in (0, 2))
+                yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), ids, docs_of, pa.array((at - first[row[at]]).astype(np.int32))], names=["h", "id", "doc", "pos"])
 
-    ids = docs.select(F.col(f"`{id_column}`").alias("id"), F.col("text").alias("__text"))
-    made = ids.mapInArrow(run, f"h bigint, id {ids.schema[0].dataType.simpleString()}, pos int")
-    return made.select("h", F.col("id").isNull().alias("none"), "id", "pos")
+    ids = docs.select(F.col(f"`{id_column}`").alias("id"), F.col("text").alias("__text"), F.xxhash64("text").alias("__doc"))
+    made = ids.mapInArrow(run, f"h bigint, id {ids.schema[0].dataType.simpleString()}, doc bigint, pos int")
+    return made.select("h", F.col("id").isNull().alias("none"), "id", "doc", "pos")
 
 
 def repeated(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """(none, id, starts): per document the window positions that repeat an earlier one."""
+    """(none, id, doc, starts): per document the window positions that repeat an earlier one."""
     found = windows(docs, id_column)
-    place = F.struct("none", "id", "pos")
+    place = F.struct("none", "id", "doc", "pos")
     # written down, so that both sides of the join are dealt anew and a window that very many texts share can be split
     first = cut_lineage(found.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"))
     later = found.join(first, "h").filter(~place.eqNullSafe(F.col("first")))
-    return later.groupBy("none", "id").agg(F.collect_set("pos").alias("starts"))
+    return later.groupBy("none", "id", "doc").agg(F.collect_set("pos").alias("starts"))
 
 
 def dedup(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
@@ -103,7 +104,7 @@ def dedup(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     marks = repeated(docs, id_column)
     rows = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(names)])
     own = F.col(f"k{names.index(id_column)}")
-    met = rows.join(marks, own.eqNullSafe(F.col("id")), "left").drop("none", "id")
+    met = rows.join(marks, own.eqNullSafe(F.col("id")) & (F.xxhash64(f"k{at}") == F.col("doc")), "left").drop("none", "id", "doc")
     schema = ", ".join(f"k{i} {k}" for i, k in enumerate(kinds)) + ", n_lines bigint, n_removed bigint"
     made = met.mapInArrow(run, schema)
     if "n_chars" in names:

@@ -45,3 +45,18 @@ def test_given_documents(spark):
 def test_repeated_rows_are_one_document(spark):
     docs = spark.createDataFrame([(1, "a\nb\nc"), (1, "a\nb\nc"), (2, "a\nb\nc")], "doc_id bigint, text string")
     assert sorted((r.doc_id, r.text) for r in lines.dedup(docs).collect()) == [(1, "a\nb\nc"), (1, "a\nb\nc"), (2, "")]
+
+
+def test_null_and_repeated_ids_are_told_apart_by_text(spark):
+    rows = [
+        (None, "a\nb\nc\nd"), (None, "p\nq\nr\ns"), (None, "x\nb\nc\nd"), (None, None), (4, "k\nl\nm\nn"), (4, "o\nl\nm\nn"), (4, "e\nf\ng\nh\ni"),
+        (5, "k\nl\nm\nn"), (4, "k\nl\nm\nn"), (6, "u\nv\nw\nu\nv\nw"), (None, "u\nv\nw\n1\n2"), (None, "u\nv\nw\n1\n2"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 as doc", "2 as starts")
+    order = sorted({(r.doc_id is None, r.doc_id or 0, r.h, r.text) for r in docs.selectExpr("*", "xxhash64(text) as h").collect() if r.text is not None})
+    want = by_hand([(k, t) for k, (_, _, _, t) in enumerate(order)])
+    want = {(None if none else i, t): want[k] for k, (none, i, _, t) in enumerate(order)} | {(None, None): (None, 1, 0)}
+    got = lines.dedup(docs).selectExpr("doc_id", "text", "n_lines", "n_removed").collect()
+    assert sorted(map(repr, ((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got))) == sorted(repr((i, *want[i, t])) for i, t in rows)
+    clean = {(None, "p\nq\nr\ns"), (4, "e\nf\ng\nh\ni")}
+    assert clean <= {(r.doc_id, r.text) for r in got}
