@@ -41,11 +41,18 @@ class Rule:
         object.__setattr__(self, "regex", re.compile(self.pattern.encode(), re.I if self.any_case else 0))
 
 
+#: A private key from its first line to the END line of the same name. Where that is missing or another block comes before
+#: it: to the end of the lines of base64 (and of the headers of encrypted keys), also quoted, indented or with escaped breaks.
+_KEY = (
+    r"-----BEGIN ([A-Z ]*)PRIVATE KEY-----"
+    r"(?:[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+-----END \1PRIVATE KEY-----"
+    r"|(?:(?:[\s>]|\\[nrt])++(?:(?:Proc-Type|DEK-Info):[^\n\\]*+|[A-Za-z0-9+/]{16,}+={0,2}+|[A-Za-z0-9+/]++={0,2}+(?=[^\S\n]*+(?:\n|\\[nr]|\Z))))*+)"
+)
 RULES = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", True, 2, 8, True),
     Rule("access", r"AKIA[A-Z0-9]+", least=16, base=True),
     Rule("hex", r"[0-9a-f]+", least=32, base=True),
-    Rule("key_block", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("key_block", _KEY),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("bearer", r"authorization: bearer [a-z0-9._~+/-]{16,}", True),
     Rule("login_url", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:[^\s/@]{4,128}@[a-z0-9]", True),

@@ -150,3 +150,27 @@ def test_spans_on_given_documents(spark):
     texts = {r.doc_id: r.text for r in docs.collect()}
     assert all(r.spans == ",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in spans_by_hand(texts[r.doc_id])) for r in got)
     assert sum(r.n_assign + r.n_hex for r in got) > 0
+
+
+def test_whole_private_keys_are_blanked(spark):
+    body = "\n".join(["MIIEpAIBAAKCAQEA7v+/" * 3 + "abcd"] * 20_000 + ["qT5w=="])
+    key = lambda name, body=body: f"-----BEGIN {name}PRIVATE KEY-----\n{body}\n-----END {name}PRIVATE KEY-----"
+    begin = "-----BEGIN PRIVATE KEY-----"
+    short = "A1b2" * 16 + "\n" + "C3d4" * 16 + "\nxY+="
+    texts = {
+        f"é {key('RSA ')} ü": "é [SECRET] ü",
+        f"{key('')} and {key('EC ', short)}.": "[SECRET] and [SECRET].",
+        f"a {begin}\n{short}\nThis line is text\nword": "a [SECRET]\nThis line is text\nword",
+        f"a {begin}\r\n> {short}": "a [SECRET]",
+        f"{begin}\n{body}": "[SECRET]",
+        key("RSA ", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n" + short).split("\n-----END")[0] + "\n\nso it is": "[SECRET]\n\nso it is",
+        f"{begin}\n{short}\n{key('RSA ', short)} b": "[SECRET]\n[SECRET] b",
+        '"' + key("", short).replace("\n", "\\n") + '\\n", more': '"[SECRET]\\n", more',
+        f"{begin} is the first line of a key": "[SECRET] is the first line of a key",
+        f"{begin}\n{short}\n-----END CERTIFICATE----- c": "[SECRET]\n-----END CERTIFICATE----- c",
+        (begin + "\n- ") * 20_000: "[SECRET]\n- " * 20_000,
+    }
+    docs = table(spark, list(texts))
+    got = {r.doc_id: r.text for r in secret_scan.redact(docs).collect()}
+    for i, (text, want) in enumerate(texts.items()):
+        assert got[i] == want, text[:60]
