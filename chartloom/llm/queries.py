@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chartloom.llm import bpe, jaccard, lines, minhash, packing, quality_knn, rules, secret_scan, toxicity, warc
+from chartloom.llm import bpe, jaccard, lines, minhash, packing, quality_knn, rules, secret_scan, simhash, toxicity, warc
 from chartloom.sources.tables import scratch_path
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest_columns(secret_scan.scan(_read(spark, sf_dir, "documents")))
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Plan] = {
     "op1_bpe": op1_bpe,
     "op2_jaccard": op2_jaccard,
@@ -68,6 +72,7 @@ QUERIES: dict[str, Plan] = {
     "op8_rules": op8_rules,
     "op9_warc": op9_warc,
     "op10_secrets": op10_secrets,
+    "op12_simhash": op12_simhash,
 }
 
 SQL: dict[str, str] = {
