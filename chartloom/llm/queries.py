@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartloom.llm import bpe, hard_negatives, jaccard, lines, minhash, packing, quality_knn, rules, secret_scan, simhash, toxicity, warc
+from chartloom.llm import bpe, collocations, hard_negatives, jaccard, lines, minhash, packing, quality_knn, rules, secret_scan, simhash, toxicity, warc
 from chartloom.sources.tables import scratch_path
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest_columns(secret_scan.scan(_read(spark, sf_dir, "documents")))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_read(spark, sf_dir, "documents"))
+
+
 def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -78,6 +82,7 @@ QUERIES: dict[str, Plan] = {
     "op8_rules": op8_rules,
     "op9_warc": op9_warc,
     "op10_secrets": op10_secrets,
+    "op11_collocations": op11_collocations,
     "op12_simhash": op12_simhash,
     "op13_hard_negatives": op13_hard_negatives,
 }
@@ -137,6 +142,34 @@ SQL: dict[str, str] = {
                CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN first <> page_id THEN first END AS refers_to
         FROM d LEFT JOIN f USING (payload_digest)""",
+    "op11_collocations": r"""
+        WITH t AS (
+            SELECT coalesce(lang, 'und') AS lang,
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x
+            FROM documents),
+        p AS (SELECT lang, unnest(regexp_split_to_array(x, '[.,;:!?\x0A-\x0D]')) AS piece FROM t),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+        total AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+        g AS (
+            SELECT lang, ph, count(*) AS a
+            FROM (SELECT lang, ws[i : i + k - 1] AS ph
+                  FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (VALUES (1), (2), (3), (4), (5)) v(k)))
+            GROUP BY lang, ph HAVING count(*) >= 100),
+        c AS (SELECT * FROM g WHERE len(ph) > 1),
+        inner_ones AS (
+            SELECT lang, ph[i : i + m - 1] AS ph, max(a) AS over
+            FROM (SELECT *, unnest(range(1, len(ph) - m + 2)) AS i FROM (SELECT *, unnest(range(2, len(ph))) AS m FROM c))
+            GROUP BY ALL),
+        cuts AS (
+            SELECT c.lang, c.ph, c.a, k, l.a AS l, r.a AS r, n, (1000::HUGEINT * c.a * n) // (l.a::HUGEINT * r.a) AS score
+            FROM (SELECT *, unnest(range(1, len(ph))) AS k FROM c) c
+            JOIN g l ON l.lang = c.lang AND l.ph = c.ph[1 : k] JOIN g r ON r.lang = c.lang AND r.ph = c.ph[k + 1 : len(c.ph)]
+            JOIN total USING (lang)
+            QUALIFY row_number() OVER (PARTITION BY c.lang, c.ph ORDER BY score, k) = 1),
+        kept AS (SELECT cuts.*, array_to_string(cuts.ph, ' ') AS phrase FROM cuts LEFT JOIN inner_ones i USING (lang, ph) WHERE over IS NULL OR over < a)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank,
+               phrase, a, l, r, n, score::BIGINT AS score
+        FROM kept QUALIFY rank <= 2000""",
     "op13_hard_negatives": """
         WITH r AS (
             SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label,
