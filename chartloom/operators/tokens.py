@@ -8,14 +8,13 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartloom.functions import text as T
 from chartloom.functions.boxes import iou
-from chartloom.operators.ordering import rank_in_group
+from chartloom.operators.ordering import global_index, null_safe_join
 from chartloom.session import cut_lineage
 
 MATCH_IOU = 0.3
@@ -71,129 +70,118 @@ def count_matches(left: DataFrame, right: DataFrame) -> DataFrame:
     )
 
 
-def _greedy(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Pairs (l_pos, r_pos) of one image: each left token takes the best free match."""
-    left, right = left.sort_values("pos"), right.sort_values("pos")
-    if left.empty or right.empty:
-        return pd.DataFrame({"image_id": [], "l_pos": [], "r_pos": []})
-    texts = right["norm"].to_numpy()
-    x1, y1, x2, y2 = (right[c].to_numpy(dtype=np.int64) for c in _BOX)
-    area = np.maximum(1, (x2 - x1) * (y2 - y1))
-    conf = right["confidence"].to_numpy(dtype=float)
-    free = np.ones(len(right), dtype=bool)
-    pairs = []
-    for row in left.itertuples(index=False):
-        shared = np.clip(np.minimum(x2, row.x2) - np.maximum(x1, row.x1), 0, None) * np.clip(
-            np.minimum(y2, row.y2) - np.maximum(y1, row.y1), 0, None
-        )
-        own = max(1, (int(row.x2) - int(row.x1)) * (int(row.y2) - int(row.y1)))
-        hit = (shared > 0) & (shared / (area + own - shared) >= MATCH_IOU)
-        if row.norm:
-            hit |= texts == row.norm
-        choice = np.flatnonzero(hit & free)
-        if len(choice):
-            best = choice[np.argmax(conf[choice])]
-            free[best] = False
-            pairs.append((row.image_id, row.pos, int(right["pos"].iloc[best])))
-    return pd.DataFrame(pairs, columns=["image_id", "l_pos", "r_pos"])
-
-
-def _pairs_small(left: DataFrame, right: DataFrame) -> DataFrame:
-    cols = ["image_id", "pos", "norm", "confidence", *_BOX]
-    return (
-        left.select(*cols).groupBy("image_id").cogroup(right.select(*cols).groupBy("image_id"))
-        .applyInPandas(_greedy, "image_id bigint, l_pos bigint, r_pos bigint")
-    )
+_BLOCK_BITS = 14  # tokens of one text are ranked in blocks of 2**14
+
+
+def _token_table(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Both sides in one table: ``idx`` numbers the tokens of a text in the order in which they are served, ``cls`` names the
+    tokens of equal text and box."""
+    sides = [
+        normalized(t)
+        .withColumn("confidence", F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)))  # a missing confidence reads 0
+        .select("image_id", F.lit(side).alias("side"), "norm", "pos", "confidence", *_BOX)
+        for side, t in ((0, left), (1, right))
+    ]
+    both = sides[0].unionByName(sides[1]).filter(F.col("image_id").isNotNull())
+    served = F.when(F.col("side") == 1, -F.col("confidence")).otherwise(F.lit(0.0))
+    numbered = global_index(both.withColumn("_served", served), ["image_id", "norm", "side", "_served", "pos"], index_col="idx")
+    keys = ["image_id", "side", "norm", *_BOX]
+    classes = numbered.groupBy(*keys).agg(F.min("idx").alias("cls"))
+    return null_safe_join(numbered, classes, keys).drop("_served")
+
+
+# one statement, as a round is planned again and again
+_SETTLED = f"""
+WITH named AS (SELECT *, shiftright(idx, {_BLOCK_BITS}) AS blk FROM {{tokens}} WHERE norm <> ''),
+  sizes AS (SELECT image_id, side, norm, blk, count(*) AS n FROM named GROUP BY ALL),
+  carry AS (SELECT image_id, side, norm, blk, sum(n) OVER (PARTITION BY image_id, side, norm ORDER BY blk) - n AS off FROM sizes),
+  ranked AS (
+    SELECT image_id, side, norm, pos, confidence, cls, off + row_number() OVER (PARTITION BY image_id, side, norm, blk ORDER BY idx) AS rank
+    FROM named JOIN carry USING (image_id, side, norm, blk)),
+  alive AS (
+    SELECT * FROM {{edges}}
+    JOIN (SELECT cls AS lc, min(pos) AS f FROM {{tokens}} WHERE side = 0 GROUP BY cls) USING (lc)
+    JOIN (SELECT cls AS rc, max(struct(confidence, -pos AS place)) AS t FROM {{tokens}} WHERE side = 1 GROUP BY cls) USING (rc)),
+  best AS (SELECT lc, max(t) AS best FROM alive GROUP BY lc),
+  suitor AS (SELECT rc, min(f) AS suitor FROM alive GROUP BY rc),
+  level AS (
+    SELECT image_id, norm, rank, l.pos AS l_pos, r.pos AS r_pos,
+           coalesce(best > struct(r.confidence, -r.pos AS place), FALSE) OR coalesce(suitor < l.pos, FALSE) AS doubt
+    FROM (SELECT * FROM ranked WHERE side = 0) l JOIN (SELECT * FROM ranked WHERE side = 1) r USING (image_id, norm, rank)
+    LEFT JOIN best ON lc = l.cls LEFT JOIN suitor ON rc = r.cls),
+  settled AS (SELECT image_id, norm, coalesce(min(rank) FILTER (WHERE doubt) - 1, max(rank)) AS n FROM level GROUP BY image_id, norm),
+  rest AS (
+    SELECT image_id, norm, min(pos) FILTER (WHERE side = 0) AS head, max(struct(confidence, -pos AS place)) FILTER (WHERE side = 1) AS top
+    FROM ranked LEFT JOIN settled USING (image_id, norm) WHERE rank > coalesce(n, 0) GROUP BY image_id, norm)
+SELECT image_id, l_pos, r_pos FROM level JOIN settled USING (image_id, norm) WHERE rank <= n
+UNION ALL
+SELECT image_id, f, -t.place FROM alive JOIN best USING (lc) JOIN suitor USING (rc)
+LEFT JOIN (SELECT image_id, norm AS l_norm, head AS l_head, top AS l_top FROM rest) USING (image_id, l_norm)
+LEFT JOIN (SELECT image_id, norm AS r_norm, head AS r_head, top AS r_top FROM rest) USING (image_id, r_norm)
+WHERE t = best AND f = suitor AND (l_norm = '' OR f >= l_head) AND (r_norm = '' OR t <= r_top)
+  AND (l_top IS NULL OR t > l_top) AND (r_head IS NULL OR f < r_head)
+"""
 
 
-def _pairs_large(left: DataFrame, right: DataFrame) -> DataFrame:
-    """The same pairs without bringing an image together.
+def _settled(tokens: DataFrame, edges: DataFrame) -> DataFrame:
+    """Pairs (image_id, l_pos, r_pos) that no other match can change any more.
 
-    A pair is final if the right token is the best one left for the left token and the left
-    token is the first one left for the right token. Text matches are represented by the best
-    right and first left token per text, so only overlap matches are listed as edges. Rounds
-    go on until no overlap edge is alive; what remains are texts on their own, where the i-th
-    left token gets the i-th best right token.
+    By text, the i-th free left token and the i-th free right token of a text belong together as long as, up to i, no left
+    token overlaps a better right one and no right token an earlier left one. By overlap, a pair is settled if either is
+    the other's best, also against what these text pairs leave of its text. Ranks are taken in blocks of the fixed numbering, so a text of any
+    number of tokens is spread over tasks.
     """
-    spark = left.sparkSession
-    keep = ["image_id", "norm", "pos", "confidence"]
-    classes = overlap_classes(left, right)
-    l_tok = left.select(*keep, *_BOX)
-    r_tok = right.select(*keep, *_BOX)
-    edges = (
-        classes.join(l_tok.select("image_id", F.col("pos").alias("l_pos"), *[F.col(c).alias(f"l_{c}") for c in ("norm", *_BOX)]), ["image_id", *[f"l_{c}" for c in ("norm", *_BOX)]])
-        .join(
-            r_tok.select("image_id", F.col("pos").alias("r_pos"), "confidence", *[F.col(c).alias(f"r_{c}") for c in ("norm", *_BOX)]),
-            ["image_id", *[f"r_{c}" for c in ("norm", *_BOX)]],
-        )
-        .select("image_id", "l_pos", "r_pos", "confidence")
-    )
-    edges = cut_lineage(edges)
-    lefts, rights = cut_lineage(l_tok.select(*keep)), cut_lineage(r_tok.select(*keep))
-    done = None
-    better = lambda conf, pos: F.struct(conf.alias("c"), (-pos).alias("p"))
-    while not edges.isEmpty():
-        text = F.col("norm") != ""
-        top_text = rights.filter(text).groupBy("image_id", "norm").agg(F.max(better(F.col("confidence"), F.col("pos"))).alias("bt"))
-        first_text = lefts.filter(text).groupBy("image_id", "norm").agg(F.min("pos").alias("ft"))
-        top_edge = edges.groupBy("image_id", F.col("l_pos").alias("pos")).agg(F.max(better(F.col("confidence"), F.col("r_pos"))).alias("be"))
-        first_edge = edges.groupBy("image_id", F.col("r_pos").alias("pos")).agg(F.min("l_pos").alias("fe"))
-        wish = (
-            lefts.join(top_text, ["image_id", "norm"], "left").join(top_edge, ["image_id", "pos"], "left")
-            .select("image_id", F.col("pos").alias("l_pos"), F.greatest("bt", "be").alias("b"))
-            .filter(F.col("b").isNotNull())
-            .select("image_id", "l_pos", (-F.col("b.p")).alias("r_pos"))
-        )
-        first = (
-            rights.join(first_text, ["image_id", "norm"], "left").join(first_edge, ["image_id", "pos"], "left")
-            .select("image_id", F.col("pos").alias("r_pos"), F.least("ft", "fe").alias("l_pos"))
-        )
-        final = cut_lineage(wish.join(first, ["image_id", "l_pos", "r_pos"]))
-        done = final if done is None else done.unionByName(final)
-        gone_l = final.select("image_id", F.col("l_pos").alias("pos"))
-        gone_r = final.select("image_id", F.col("r_pos").alias("pos"))
-        lefts = cut_lineage(lefts.join(gone_l, ["image_id", "pos"], "left_anti").select(*keep))
-        rights = cut_lineage(rights.join(gone_r, ["image_id", "pos"], "left_anti").select(*keep))
-        edges = cut_lineage(
-            edges.join(gone_l.withColumnRenamed("pos", "l_pos"), ["image_id", "l_pos"], "left_anti")
-            .join(gone_r.withColumnRenamed("pos", "r_pos"), ["image_id", "r_pos"], "left_anti")
-            .select("image_id", "l_pos", "r_pos", "confidence")
-        )
-    named = F.col("norm") != ""
-    by_order = rank_in_group(lefts.filter(named), ["image_id", "norm"], ["pos"]).select(
-        "image_id", "norm", "rank", F.col("pos").alias("l_pos")
-    )
-    by_conf = rank_in_group(rights.filter(named), ["image_id", "norm"], [F.desc("confidence"), F.col("pos")]).select(
-        "image_id", "norm", "rank", F.col("pos").alias("r_pos")
-    )
-    rest = by_order.join(by_conf, ["image_id", "norm", "rank"]).select("image_id", "l_pos", "r_pos")
-    empty = spark.createDataFrame([], "image_id bigint, l_pos bigint, r_pos bigint")
-    return (done if done is not None else empty).unionByName(rest)
+    return tokens.sparkSession.sql(_SETTLED, tokens=tokens, edges=edges)
 
 
-def match_tokens(left: DataFrame, right: DataFrame, group_limit: int = 4000) -> DataFrame:
-    """Greedy one-to-one pairs (image_id, l_pos, r_pos).
+# what stays for the next round: texts that no edge touched are complete
+_LEFT_OVER = """
+SELECT t.* FROM {tokens} t
+LEFT ANTI JOIN (SELECT image_id, 0 AS side, l_pos AS pos FROM {pairs} UNION ALL SELECT image_id, 1, r_pos FROM {pairs}) USING (image_id, side, pos)
+LEFT SEMI JOIN (SELECT DISTINCT image_id, explode(array(l_norm, r_norm)) AS norm FROM {edges}) USING (image_id, norm)
+"""
+_STILL_OPEN = """
+SELECT e.* FROM {edges} e
+LEFT SEMI JOIN (SELECT cls AS lc FROM {tokens} WHERE side = 0 GROUP BY cls) USING (lc)
+LEFT SEMI JOIN (SELECT cls AS rc FROM {tokens} WHERE side = 1 GROUP BY cls) USING (rc)
+"""
 
-    Left tokens in order take the unused match of highest confidence (first on ties). Images
-    up to ``group_limit`` tokens are matched one by one in tasks; larger ones in rounds of joins.
-    """
-    # a missing confidence reads 0, whichever way an image is matched
-    left, right = (normalized(t).withColumn("confidence", F.coalesce("confidence", F.lit(0.0))) for t in (left, right))
-    sizes = left.select("image_id").unionAll(right.select("image_id")).groupBy("image_id").agg(F.count(F.lit(1)).alias("_n"))
-    large = cut_lineage(sizes.filter(F.col("_n") > group_limit).select("image_id"))
-    if large.isEmpty():
-        return _pairs_small(left, right)
-    small = _pairs_small(left.join(large, "image_id", "left_anti"), right.join(large, "image_id", "left_anti"))
-    return small.unionByName(_pairs_large(left.join(large, "image_id", "left_semi"), right.join(large, "image_id", "left_semi")))
 
+def match_tokens(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Greedy one-to-one pairs (image_id, l_pos, r_pos): left tokens in order take the free match of highest confidence, the
+    first one on ties. Tokens match by equal text or by overlap; a missing confidence reads 0.
 
-def fuse_tokens(left: DataFrame, right: DataFrame, group_limit: int = 4000) -> DataFrame:
+    Matches by overlap are edges between classes of equal text and box. Every round settles, in all images together, each
+    pair that can no longer change; texts that no edge touches are complete after it and leave. Only texts with an edge go
+    on, until no edge is left. The number of rounds follows the chains of competing edges, not the
+    number of tokens, and no image or text has to fit into a task.
+    """
+    tokens = cut_lineage(_token_table(left, right))
+    classes = tokens.groupBy("image_id", "side", "norm", *_BOX).agg(F.min("cls").alias("cls"))
+    ends = [classes.filter(F.col("side") == side).select("image_id", F.col("cls").alias(f"{s}c"), *[F.col(c).alias(f"{s}_{c}") for c in ("norm", *_BOX)]) for side, s in ((0, "l"), (1, "r"))]
+    near = overlap_classes(tokens.filter("side = 0"), tokens.filter("side = 1"))
+    for s, end in zip("lr", ends):
+        near = near.join(end, ["image_id", *[f"{s}_{c}" for c in ("norm", *_BOX)]])
+    edges = cut_lineage(near.select("image_id", "lc", "rc", "l_norm", "r_norm"))
+    done, open_edges = None, not edges.isEmpty()
+    while True:
+        pairs = cut_lineage(_settled(tokens, edges))
+        done = pairs if done is None else done.unionByName(pairs)
+        if not open_edges:
+            return done
+        spark = tokens.sparkSession
+        tokens = cut_lineage(spark.sql(_LEFT_OVER, tokens=tokens, pairs=pairs, edges=edges))
+        edges = cut_lineage(spark.sql(_STILL_OPEN, tokens=tokens, edges=edges))
+        open_edges = not edges.isEmpty()
+
+
+def fuse_tokens(left: DataFrame, right: DataFrame) -> DataFrame:
     """Merged tokens: of a pair the more confident side (left on ties), and all unmatched ones.
 
     ``ord`` keeps the merge order: left tokens first, then unmatched right tokens.
     """
     cols = ["text", "confidence", *_BOX, "engine"]
-    pairs = cut_lineage(match_tokens(left, right, group_limit))
+    pairs = match_tokens(left, right)
     l_rows = left.select("image_id", F.col("pos").alias("l_pos"), F.struct(*cols).alias("l"))
     r_rows = right.select("image_id", F.col("pos").alias("r_pos"), F.struct(*cols).alias("r"))
     merged = l_rows.join(pairs, ["image_id", "l_pos"], "left").join(r_rows, ["image_id", "r_pos"], "full")

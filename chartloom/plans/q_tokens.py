@@ -116,7 +116,31 @@ def _matches(spark, sf):
     return K.count_matches(*_engines(spark, sf))
 
 
-@query("fused_tokens", "J9", "E2")
+FUSED_SQL = oracle(
+    "tokens",
+    r"""WITH RECURSIVE e AS (SELECT *, lower(text) AS norm, row_number() OVER (PARTITION BY image_id ORDER BY pos) AS k FROM v_tokens WHERE engine = 'easyocr'),
+p AS (SELECT *, lower(text) AS norm FROM v_tokens WHERE engine = 'paddleocr'),
+m AS (SELECT image_id, k, r_pos, confidence FROM (SELECT e.image_id, e.k, p.pos AS r_pos, p.confidence, e.norm = p.norm AND e.norm <> '' AS same,
+ greatest(0, least(e.x2, p.x2) - greatest(e.x1, p.x1)) * greatest(0, least(e.y2, p.y2) - greatest(e.y1, p.y1)) AS i,
+ greatest(1, (e.x2 - e.x1) * (e.y2 - e.y1)) AS a, greatest(1, (p.x2 - p.x1) * (p.y2 - p.y1)) AS b FROM e JOIN p ON e.image_id = p.image_id) q
+ WHERE same OR (i > 0 AND i / (a + b - i) >= 0.3)),
+c AS MATERIALIZED (SELECT e.image_id, e.k, e.pos AS l_pos, list(m.r_pos ORDER BY m.confidence DESC, m.r_pos) FILTER (m.r_pos IS NOT NULL) AS wishes
+ FROM e LEFT JOIN m ON m.image_id = e.image_id AND m.k = e.k GROUP BY 1, 2, 3),
+s AS (SELECT image_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS l_pos, CAST(NULL AS BIGINT) AS r_pos, CAST([] AS BIGINT[]) AS used FROM e GROUP BY 1
+ UNION ALL SELECT image_id, k, l_pos, r_pos, CASE WHEN r_pos IS NULL THEN used ELSE list_append(used, r_pos) END FROM (
+  SELECT c.image_id, c.k, c.l_pos, s.used, list_filter(coalesce(c.wishes, []), lambda r: NOT list_contains(s.used, r))[1] AS r_pos
+  FROM s JOIN c ON c.image_id = s.image_id AND c.k = s.k + 1) q),
+f AS (SELECT coalesce(e.image_id, p.image_id) AS image_id, e.pos AS l_pos, p.pos AS r_pos, p.pos IS NULL OR coalesce(e.confidence >= p.confidence, FALSE) AS own,
+ e.text AS lt, e.confidence AS lc, e.x1 AS lx1, e.y1 AS ly1, e.x2 AS lx2, e.y2 AS ly2, p.text AS rt, p.confidence AS rc, p.x1 AS rx1, p.y1 AS ry1, p.x2 AS rx2, p.y2 AS ry2
+ FROM e LEFT JOIN s ON s.image_id = e.image_id AND s.l_pos = e.pos FULL JOIN p ON p.image_id = s.image_id AND p.pos = s.r_pos)
+SELECT image_id, l_pos, r_pos, CASE WHEN regexp_full_match(text, '[0-9.,:%$OoIlSB+-]+') THEN translate(text, 'OoIlSB', '001158') ELSE text END AS text,
+ CASE WHEN own THEN lc ELSE rc END AS confidence, CASE WHEN own THEN lx1 ELSE rx1 END AS x1, CASE WHEN own THEN ly1 ELSE ry1 END AS y1,
+ CASE WHEN own THEN lx2 ELSE rx2 END AS x2, CASE WHEN own THEN ly2 ELSE ry2 END AS y2, CASE WHEN own THEN 'easyocr' ELSE 'paddleocr' END AS engine
+FROM (SELECT *, CASE WHEN own THEN lt ELSE rt END AS text FROM f) q""",
+)
+
+
+@query("fused_tokens", "J9", "E2", sql=FUSED_SQL)
 def _fused(spark, sf):
     return K.fuse_tokens(*_engines(spark, sf)).select(
         "image_id", "l_pos", "r_pos", "text", "confidence", "x1", "y1", "x2", "y2", "engine"

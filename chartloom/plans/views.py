@@ -212,6 +212,8 @@ def oracle(names: str, body: str) -> str:
         parts.append(f"v_{name} AS ({text.format(**{s: s for s in _SOURCES[name]}).strip()})")
     body = body.strip()
     head = "WITH " + ",\n".join(parts)
+    if body.upper().startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + head[5:] + ",\n" + body[15:]
     if body.upper().startswith("WITH "):
         return head + ",\n" + body[5:]
     return head + "\n" + body

@@ -1,6 +1,7 @@
 import random
 from difflib import SequenceMatcher
 
+import pytest
 from pyspark.sql import functions as F
 
 from chartloom.functions import text as T
@@ -46,13 +47,45 @@ def _brute(left, right):
     return pairs
 
 
-def test_matching_is_greedy_in_both_forms(spark):
-    left, right = _tokens("easyocr", 40, 1), _tokens("paddleocr", 45, 2)
-    want = _brute(left, right)
-    a, b = spark.createDataFrame(left, SCHEMA), spark.createDataFrame(right, SCHEMA)
-    for limit in (1000, 0):  # in tasks per image, and in rounds of joins
-        got = {tuple(r) for r in K.match_tokens(a, b, limit).select("image_id", "l_pos", "r_pos").collect()}
-        assert got == want
+def _pairs(df):
+    return {tuple(r) for r in df.select("image_id", "l_pos", "r_pos").collect()}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_matching_is_greedy(spark, seed):
+    left, right = _tokens("easyocr", 40, seed), _tokens("paddleocr", 45, seed + 50)
+    got = K.match_tokens(spark.createDataFrame(left, SCHEMA), spark.createDataFrame(right, SCHEMA))
+    assert _pairs(got) == _brute(left, right)
+
+
+def test_matching_of_copies_without_text_and_missing_values(spark):
+    row = lambda e, pos, text, conf, x, image=0: (image, e, pos, text, conf, x, 0, x + 20, 10)
+    left = [row("e", p, t, 0.5, x) for p, (t, x) in enumerate([("", 0), ("", 0), ("a", 0), ("a", 0), ("b", 100), ("a", 100), (None, 300)])]
+    right = [row("p", p, t, c, x) for p, (t, c, x) in enumerate([("a", 0.2, 100), ("", 0.9, 0), ("", None, 0), ("a", 0.2, 0), ("c", 0.7, 0), ("b", 0.1, 300)])]
+    plain = lambda rows: [(*r[:3], r[3] or "", r[4] or 0.0, *r[5:]) for r in rows]
+    frames = [spark.createDataFrame(rows, SCHEMA) for rows in (left, right)]
+    assert _pairs(K.match_tokens(*frames)) == _brute(plain(left), plain(right))
+    assert _pairs(K.match_tokens(frames[0].limit(0), frames[1])) == set()
+    assert _pairs(K.match_tokens(frames[0], frames[1].limit(0))) == set()
+
+
+def test_many_equal_tokens_with_one_overlap_take_few_rounds(spark, monkeypatch):
+    """100,000 tokens of one text in one image; one of them overlaps a better token of another text."""
+    n, rounds = 50_000, []
+    settled = K._settled
+    monkeypatch.setattr(K, "_settled", lambda *a: rounds.append(1) or settled(*a))
+    side = lambda e: spark.range(n).selectExpr(
+        "0L AS image_id", f"'{e}' AS engine", "id AS pos", "'same' AS text", "CAST(pmod(hash(id), 1000) / 2000 AS DOUBLE) AS confidence",
+        "CAST(100 * (id % 200) AS INT) AS x1", f"CAST({20 if e == 'p' else 0} + 50 * floor(id / 200) AS INT) AS y1",
+        "CAST(100 * (id % 200) + 30 AS INT) AS x2", f"CAST({30 if e == 'p' else 10} + 50 * floor(id / 200) AS INT) AS y2")
+    left, right = side("e"), side("p")
+    box = left.filter("pos = 30000").first()
+    extra = spark.createDataFrame([(0, "p", n, "other", 0.9, box.x1, box.y1, box.x2, box.y2)], SCHEMA)
+    got = _pairs(K.match_tokens(left, right.unionByName(extra)))
+    best = [p for _, p in sorted((-r.confidence, r.pos) for r in right.select("pos", "confidence").collect())]
+    others = [p for p in range(n) if p != 30_000]
+    assert got == {(0, 30_000, n)} | {(0, a, b) for a, b in zip(others, best)}
+    assert len(rounds) <= 4
 
 
 def test_match_counts(spark):
