@@ -139,7 +139,8 @@ def near_links(prints: DataFrame, n: int, tile: int = TILE, parts: int | None =
     cells = prints.select("fp", code.alias("cell"))
     cuts = cells.groupBy("cell").agg(F.ceil(F.count("*") / tile).alias("cuts"))
     dealt = cells.join(cuts, "cell").select("cell", F.pmod(F.xxhash64("fp"), "cuts").alias("cut"), "fp")
-    tiles = cut_lineage(dealt.groupBy("cell", "cut").agg(F.collect_list("fp").alias("fps")))
+    # dealt anew: a cell that holds many fingerprints is spread over its cuts
+    tiles = cut_lineage(dealt.repartition("cell", "cut").groupBy("cell", "cut").agg(F.collect_list("fp").alias("fps")))
     # each pair of cells once: towards the larger code
     ahead = F.array(*[F.lit(o).cast("bigint") for o in sorted(offsets) if o >= 0])
     left = tiles.select(F.col("cell").alias("c"), F.col("cut").alias("k"), F.col("fps").alias("x"), F.explode(ahead).alias("o"))
