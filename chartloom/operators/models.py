@@ -8,7 +8,6 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
-    GBTClassifier,
     LinearSVC,
     LogisticRegression,
     RandomForestClassifier,
@@ -20,6 +19,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chartloom.operators import boosting
 from chartloom.operators.metrics import classification_metrics
 from chartloom.operators.ordering import global_index, order_hash
 from chartloom.session import cut_lineage
@@ -76,8 +76,6 @@ def estimator(name: str, classes: int = 2, weight: str | None = None, **params)
         return [RandomForestClassifier(**common, **{"numTrees": 300, "maxDepth": 10, "seed": 42, **params})]
     if name == "linear_svm":
         return _one_vs_rest(LinearSVC(**common, **{"maxIter": 100, **params}), classes)
-    if name == "boosted_trees":
-        return _one_vs_rest(GBTClassifier(**common, **{"maxIter": 100, "maxDepth": 5, "seed": 42, **params}), classes)
     raise ValueError(f"unknown model {name}")
 
 
@@ -111,11 +109,13 @@ class Trained:
         return Trained(meta["name"], PipelineModel.load(f"{path}/model"), meta["labels"], meta["columns"])
 
 
-def fit(df: DataFrame, label: str, columns: Sequence[str], name: str, weighted: bool = False, **params) -> Trained:
-    """Index labels, standardise and train. The scaler sees only the given training rows.
+def fit(df: DataFrame, label: str, columns: Sequence[str], name: str, weighted: bool = False, **params) -> Trained | boosting.Boosted:
+    """Index labels, standardise and train. The scaler sees only the given training rows; boosted trees need none.
 
     Training passes over its rows many times, so the narrow training table is written once.
     """
+    if name == "boosted_trees":
+        return boosting.fit(df, label, columns, **params)
     data = df if "features" in df.columns else assemble(df, columns)
     indexer = encode_labels(data, label)
     keep = ["features", "label_index"]
@@ -221,6 +221,8 @@ def grid_search(
 
 def importances(trained: Trained) -> DataFrame:
     """Feature importances of trees, mean absolute coefficients of linear models."""
+    if isinstance(trained, boosting.Boosted):
+        return trained.importances()
     # one-vs-rest models: the stages per class see the features, the last one only their margins
     inner = [m for m in trained.model.stages[1:-1] if hasattr(m, "featureImportances") or hasattr(m, "coefficients")]
     shares = []

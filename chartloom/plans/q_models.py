@@ -6,6 +6,7 @@ from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from chartloom.operators import boosting
 from chartloom.operators import models as ML
 from chartloom.operators import sampling as S
 from chartloom.plans.q_quality import wide_features
@@ -13,8 +14,8 @@ from chartloom.plans.registry import query
 from chartloom.sources.tables import scratch_path
 
 COLUMNS = [f"feature_{i:02d}" for i in range(64)]
-# the library defaults are the study's; boosting is cut to fewer rounds because every class trains its own trees
-STUDY = {"logistic_regression": {}, "random_forest": {}, "linear_svm": {}, "boosted_trees": {"maxIter": 20}}
+# the library defaults are the study's
+STUDY = {"logistic_regression": {}, "random_forest": {}, "linear_svm": {}, "boosted_trees": {}}
 
 
 def _data(spark, sf):
@@ -81,6 +82,39 @@ def _boosted(spark, sf):
     return _predict(spark, sf, "boosted_trees")
 
 
+@query(
+    "boosting_residuals",
+    "M7",
+    sql="""WITH s AS (SELECT label AS k, count(*) / sum(count(*)) OVER () AS p FROM embeddings GROUP BY 1)
+SELECT vec_id, 'class_' || k AS class, round(CAST(label = k AS INT) - p, 9) AS residual, round(p * (1 - p), 9) AS second FROM embeddings, s""",
+)
+def _residuals(spark, sf):
+    out = boosting.first_residuals(_data(spark, sf).select("vec_id", "label"), "vec_id", "label")
+    return out.select("vec_id", "class", F.round("residual", 9).alias("residual"), F.round("second", 9).alias("second"))
+
+
+@query(
+    "boosting_first_splits",
+    "M7",
+    sql="""WITH s AS (SELECT label AS k, count(*) / sum(count(*)) OVER () AS p FROM embeddings GROUP BY 1),
+u AS (SELECT label, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) - 1 AS f FROM embeddings),
+e AS (SELECT f, min(x) AS lo, max(x) AS hi FROM u GROUP BY 1),
+b AS (SELECT f, label, len(list_filter(range(1, 32), lambda j: lo + (hi - lo) * j / 32 < x)) AS b FROM u JOIN e USING (f)),
+c AS (SELECT f, b, label AS k, count(*) AS n FROM b GROUP BY 1, 2, 3), t AS (SELECT f, b, count(*) AS n FROM b GROUP BY 1, 2),
+g AS (SELECT s.k, p, f.range AS f, b.range AS b, coalesce(c.n, 0) - p * coalesce(t.n, 0) AS r, p * (1 - p) * coalesce(t.n, 0) AS h FROM s CROSS JOIN range(64) f CROSS JOIN range(32) b
+ LEFT JOIN c ON c.f = f.range AND c.b = b.range AND c.k = s.k LEFT JOIN t ON t.f = f.range AND t.b = b.range),
+w AS (SELECT k, f, b, sum(r) OVER l AS lr, sum(h) OVER l AS lh, sum(r) OVER a AS tr, sum(h) OVER a AS th FROM g WINDOW l AS (PARTITION BY k, f ORDER BY b), a AS (PARTITION BY k, f)),
+q AS (SELECT *, tr - lr AS rr, th - lh AS rh, coalesce(round(lr * lr / nullif(lh, 0) + (tr - lr) * (tr - lr) / nullif(th - lh, 0) - tr * tr / th, 9), 0) AS gain FROM w WHERE b < 31)
+SELECT 'class_' || k AS class, 'feature_' || lpad(CAST(f AS VARCHAR), 2, '0') AS feature, CAST(b AS INT) AS bin, round(gain, 6) AS gain, round(lr, 6) AS left_residual, round(lh, 6) AS left_second,
+ round(rr, 6) AS right_residual, round(rh, 6) AS right_second, round(0.9 * lr / lh, 6) AS left_value, round(0.9 * rr / rh, 6) AS right_value
+FROM q QUALIFY row_number() OVER (PARTITION BY k ORDER BY gain DESC, f, b) = 1""",
+)
+def _first_splits(spark, sf):
+    df = _data(spark, sf)
+    out = boosting.first_splits(df, "label", COLUMNS, boosting.even_edges(df, COLUMNS))
+    return out.select("class", "feature", "bin", *[F.round(c, 6).alias(c) for c in out.columns[3:]])
+
+
 @query("grid_search", "M8")
 def _grid(spark, sf):
     df = S.stratified_folds(_data(spark, sf), "label", "vec_id", k=5)

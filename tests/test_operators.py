@@ -75,13 +75,42 @@ def test_statistics(spark):
     assert ST._two_sided(2.228138852, 10) == pytest.approx(0.05, abs=1e-6)
     rnd = random.Random(3)
     df = spark.createDataFrame([(i, int(rnd.random() < 0.8)) for i in range(500)], "id int, hit int")
-    samples = ST.bootstrap_metric(df, "id", F.col("hit"), F.lit(1), 200)
+    samples = ST.bootstrap_metric(df, F.col("hit"), F.lit(1), 200)
     assert samples.count() == 200 == samples.select("b").distinct().count()
     interval = ST.bootstrap_interval(samples).first()
     assert interval["lower"] < df.agg(F.avg("hit")).first()[0] < interval["upper"]
     assert interval["upper"] - interval["lower"] == pytest.approx(4 * (0.8 * 0.2 / 500) ** 0.5, rel=0.3)
 
 
+@pytest.mark.parametrize("mean", [1.0, 7.0, 60.0, 150.0])
+def test_poisson_draws(spark, mean):
+    n = 20_000
+    u = lambda salt: (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1 << 32)) + 0.5) / float(1 << 32)
+    m = F.lit(mean)
+    cuts = F.when(m < ST._EXACT_COUNTS, ST.poisson_cuts(m))
+    k = spark.range(n).select(ST.poisson_draw(m, cuts, u(1), u(2)).alias("k"))
+    r = k.agg(F.avg("k").alias("avg"), F.var_samp("k").alias("var"), F.skewness("k").alias("skew"), F.min("k").alias("low")).first()
+    assert r.avg == pytest.approx(mean, abs=5 * (mean / n) ** 0.5) and r["var"] == pytest.approx(mean, rel=0.06)
+    assert r["skew"] == pytest.approx(mean**-0.5, abs=0.1) and r.low >= 0
+
+
+def test_bootstrap_by_values_agrees_with_rows(spark):
+    """Mean and width of the interval against draws with replacement, row by row."""
+    rnd = random.Random(5)
+    rows = [(rnd.choice([0.0, 1.0, 2.5, None]), rnd.choice([1.0, 2.0])) for _ in range(800)]
+    df = spark.createDataFrame(rows, "x double, y double")
+    got = [r.value for r in ST.bootstrap_metric(df, F.col("x"), F.col("y"), 1000).collect()]
+    want = []
+    for _ in range(1000):
+        drawn = rnd.choices(rows, k=len(rows))
+        want.append(sum(x or 0 for x, _ in drawn) / sum(y for _, y in drawn))
+    spread = lambda v: (sorted(v)[25], sorted(v)[-26])
+    width = spread(want)[1] - spread(want)[0]
+    assert sum(got) / 1000 == pytest.approx(sum(want) / 1000, abs=width / 20)
+    assert spread(got)[1] - spread(got)[0] == pytest.approx(width, rel=0.15)
+    assert ST.bootstrap_metric(df.limit(0), F.col("x"), F.col("y")).count() == 0
+
+
 def _votes(spark, *rows):
     cols = [f"{v}_{k}" for v in V.VOTERS for k in ("prediction", "confidence")]
     schema = ", ".join(f"{c} {'string' if c.endswith('prediction') else 'double'}" for c in cols)
