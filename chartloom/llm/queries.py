@@ -164,7 +164,7 @@ SQL: dict[str, str] = {
             SELECT c.lang, c.ph, c.a, k, l.a AS l, r.a AS r, n, (1000::HUGEINT * c.a * n) // (l.a::HUGEINT * r.a) AS score
             FROM (SELECT *, unnest(range(1, len(ph))) AS k FROM c) c
             JOIN g l ON l.lang = c.lang AND l.ph = c.ph[1 : k] JOIN g r ON r.lang = c.lang AND r.ph = c.ph[k + 1 : len(c.ph)]
-            JOIN total USING (lang)
+            JOIN total ON total.lang = c.lang
             QUALIFY row_number() OVER (PARTITION BY c.lang, c.ph ORDER BY score, k) = 1),
         kept AS (SELECT cuts.*, array_to_string(cuts.ph, ' ') AS phrase FROM cuts LEFT JOIN inner_ones i USING (lang, ph) WHERE over IS NULL OR over < a)
         SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank,
