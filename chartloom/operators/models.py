@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     LinearSVC,
@@ -20,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chartloom.operators import boosting
+from chartloom.operators.kernels import FourierFeatures
 from chartloom.operators.metrics import classification_metrics
 from chartloom.operators.ordering import global_index, order_hash
 from chartloom.session import cut_lineage
@@ -79,6 +82,35 @@ def estimator(name: str, classes: int = 2, weight: str | None = None, **params)
     raise ValueError(f"unknown model {name}")
 
 
+def _kernel_svm(data: DataFrame, classes: int, width: int, weight: str | None, c: float = 10.0, gamma: float | None = None, frequencies: int = 512, folds: int = 3, seed: int = 42, parallelism: int = 8) -> PipelineModel:
+    """RBF support vector machine: Fourier features before one linear machine per class, and probabilities from margins of
+    rows the machines had not seen (``folds`` parts by hash), as fitted margins would be overconfident.
+
+    ``gamma`` defaults to 1 / (features * variance), which is 1 / features after scaling; the penalty of n rows is 1 / (c * n).
+    """
+    scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True).fit(data)
+    mapped = FourierFeatures(inputCol="scaled", outputCol="fourier", seed=seed, gamma=gamma or 1 / width, count=frequencies, width=width)
+    keep = ["fourier", "label_index", *([weight] if weight else []), *[f"is_{k}" for k in range(classes)]]
+    part = F.pmod(F.xxhash64(vector_to_array("features"), F.lit(seed)), F.lit(folds)).alias("_part")
+    rows = cut_lineage(mapped.transform(scaler.transform(data)).select(*keep, part))
+
+    def machines(train: DataFrame) -> list:
+        svm = LinearSVC(featuresCol="fourier", labelCol="label_index", maxIter=100, tol=1e-3, regParam=1 / (c * max(1, train.count())))
+        return _one_vs_rest(svm.setWeightCol(weight) if weight else svm, classes)
+
+    # the machines do not depend on one another: several train at a time
+    trains = [*[rows.filter(F.col("_part") != f) for f in range(folds)], rows]
+    wanted = [(train, *machines(train)) for train in trains]
+    with ThreadPool(parallelism) as pool:
+        fitted = pool.map(inheritable_thread_target(lambda job: job[1].fit(job[0])), [(w[0], s) for w in wanted for s in w[1:-2]])
+    per = [fitted[i * classes : (i + 1) * classes] for i in range(folds + 1)]
+    margins = None
+    for f in range(folds):
+        unseen = PipelineModel([*per[f], wanted[f][-2]]).transform(rows.filter(F.col("_part") == f)).select("margins", "label_index")
+        margins = unseen if margins is None else margins.unionByName(unseen)
+    return PipelineModel([scaler, mapped, *per[folds], wanted[folds][-2], wanted[folds][-1].fit(cut_lineage(margins))])
+
+
 @dataclass(frozen=True)
 class Trained:
     name: str
@@ -123,10 +155,13 @@ def fit(df: DataFrame, label: str, columns: Sequence[str], name: str, weighted:
         data = balanced_weights(data, label)
         keep.append("weight")
     classes = len(indexer.labels)
-    stages = estimator(name, classes, "weight" if weighted else None, **params)
     indexed = indexer.transform(data).select(*keep)
+    is_class = {f"is_{k}": (F.col("label_index") == k).cast("double") for k in range(classes)}
+    if name == "rbf_svm":
+        model = _kernel_svm(cut_lineage(indexed.withColumns(is_class)), classes, len(columns), "weight" if weighted else None, **params)
+        return Trained(name, model, list(indexer.labels), list(columns))
+    stages = estimator(name, classes, "weight" if weighted else None, **params)
     if len(stages) > 1:
-        is_class = {f"is_{k}": (F.col("label_index") == k).cast("double") for k in range(classes)}
         indexed = indexed.withColumns(is_class)
     scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True)
     model = Pipeline(stages=[scaler, *stages]).fit(cut_lineage(indexed))
@@ -223,6 +258,8 @@ def importances(trained: Trained) -> DataFrame:
     """Feature importances of trees, mean absolute coefficients of linear models."""
     if isinstance(trained, boosting.Boosted):
         return trained.importances()
+    if trained.name == "rbf_svm":
+        raise ValueError("the coefficients of a kernel machine belong to no single feature; use permutation_importance")
     # one-vs-rest models: the stages per class see the features, the last one only their margins
     inner = [m for m in trained.model.stages[1:-1] if hasattr(m, "featureImportances") or hasattr(m, "coefficients")]
     shares = []

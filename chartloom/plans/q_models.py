@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 from chartloom.operators import boosting
 from chartloom.operators import models as ML
 from chartloom.operators import sampling as S
+from chartloom.operators.kernels import fourier_column
 from chartloom.plans.q_quality import wide_features
 from chartloom.plans.registry import query
+from chartloom.plans.views import table
 from chartloom.sources.tables import scratch_path
 
 COLUMNS = [f"feature_{i:02d}" for i in range(64)]
 # the library defaults are the study's
-STUDY = {"logistic_regression": {}, "random_forest": {}, "linear_svm": {}, "boosted_trees": {}}
+STUDY = {"logistic_regression": {}, "random_forest": {}, "rbf_svm": {}, "boosted_trees": {}}
 
 
 def _data(spark, sf):
@@ -74,7 +76,23 @@ def _forest(spark, sf):
 
 @query("svm_predictions", "M6")
 def _svm(spark, sf):
-    return _predict(spark, sf, "linear_svm", weighted=True)
+    return _predict(spark, sf, "rbf_svm", weighted=True)
+
+
+@query(
+    "fourier_features",
+    "M6",
+    sql="""WITH d AS (SELECT j.range AS j, i.range AS i, md5(j.range || '-' || i.range || '-42') AS d FROM range(512) j, range(64) i),
+u AS (SELECT j, i, (CAST(CAST('0x' || substring(d, 1, 8) AS BIGINT) AS DOUBLE) + 0.5) / 4294967296 AS u, (CAST(CAST('0x' || substring(d, 9, 8) AS BIGINT) AS DOUBLE) + 0.5) / 4294967296 AS v FROM d),
+w AS (SELECT j, list(sqrt(CAST(2 AS DOUBLE) / 64) * sqrt(-2 * ln(u)) * cos(2 * pi() * v) ORDER BY i) AS w FROM u GROUP BY 1),
+z AS (SELECT vec_id, j, list_inner_product(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), w) AS z FROM embeddings, w)
+SELECT vec_id, j, round(cos(z) / sqrt(512), 6) AS cosine, round(sin(z) / sqrt(512), 6) AS sine FROM z""",
+)
+def _fourier(spark, sf):
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    data = table(spark, sf, "embeddings").select("vec_id", fourier_column(x, 64, 512, 1 / 64, 42).alias("z"))
+    pairs = F.posexplode(F.arrays_zip(F.slice("z", 1, 512).alias("c"), F.slice("z", 513, 512).alias("s"))).alias("j", "p")
+    return data.select("vec_id", pairs).select("vec_id", F.col("j").cast("bigint").alias("j"), F.round("p.c", 6).alias("cosine"), F.round("p.s", 6).alias("sine"))
 
 
 @query("boosted_predictions", "M7")
