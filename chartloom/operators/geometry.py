@@ -258,26 +258,28 @@ def circle_statistics(circles: DataFrame, width: int, height: int) -> DataFrame:
 
 
 def chain_features(segments: DataFrame, width: int) -> DataFrame:
-    """Per image along x: share of chained neighbours, slope changes, slope variance and continuity."""
-    s = segment_measures(segments).withColumn("sx", F.col("x"))
+    """Per image along x: share of chained neighbours, slope changes, and variance and continuity of the diagonals' slopes."""
+    s = classify_segments(segments, width, width).withColumn("sx", F.col("x"))
     p = F.col("prev")
     linked = previous_row(s, "image_id", "sx", "seq", ["x2", "y2", "slope"])
     dx, dy = p["x2"] - F.col("x"), p["y2"] - F.col("y")
     near = F.sqrt((dx * dx + dy * dy).cast("double")) < width * 0.1
+    diagonal = F.col("direction") == "diagonal"
     out = linked.groupBy("image_id").agg(
         F.count(F.lit(1)).alias("segments"),
         F.count_if(near).alias("chains"),
         F.count_if(F.abs(F.col("slope") - p["slope"]) > 0.2).alias("changes"),
-        F.var_pop("slope").alias("slope_variance"),
-        F.avg("slope").alias("_mean"),
+        F.count_if(diagonal).alias("_diagonals"),
+        F.var_pop(F.when(diagonal, F.col("slope"))).alias("slope_variance"),
+        F.avg(F.when(diagonal, F.col("slope"))).alias("_mean"),
     )
-    several = F.col("segments") > 1
+    several, sloped = F.col("segments") > 1, F.col("_diagonals") > 1
     return out.select(
         "image_id", "segments",
         F.when(several, F.col("chains") / F.greatest(F.lit(1), F.col("segments") - 1)).otherwise(0.0).alias("continuity"),
         F.when(several, F.col("changes") / F.col("segments")).otherwise(0.0).alias("slope_change_frequency"),
-        F.when(several, F.col("slope_variance")).otherwise(0.0).alias("slope_variance"),
-        F.when(several, 1 - F.least(F.lit(1.0), F.col("slope_variance") / (F.abs("_mean") + 1.0))).otherwise(0.0).alias("slope_continuity"),
+        F.when(sloped, F.col("slope_variance")).otherwise(0.0).alias("slope_variance"),
+        F.when(sloped, 1 - F.least(F.lit(1.0), F.col("slope_variance") / (F.abs("_mean") + 1.0))).otherwise(0.0).alias("slope_continuity"),
     )
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from chartloom.operators import boosting
 from chartloom.operators.kernels import FourierFeatures
 from chartloom.operators.metrics import classification_metrics
-from chartloom.operators.ordering import global_index, order_hash
+from chartloom.operators.ordering import global_index, null_safe_join, order_hash
 from chartloom.session import cut_lineage
 
 MIN_ROWS, MIN_FEATURES = 20, 5
@@ -254,6 +254,74 @@ def grid_search(
     return spark.createDataFrame(rows, "id int, params string, f1 double").orderBy(F.desc("f1"), "id")
 
 
+@dataclass
+class Tuned:
+    """``predictions`` (candidate, model, params, fold, key, label, prediction), their ``scores`` by candidate and fold, the
+    ``ranking`` of the candidates, and the ``best`` one trained on all rows (None if every candidate failed)."""
+
+    predictions: DataFrame
+    scores: DataFrame
+    ranking: DataFrame
+    best: Trained | boosting.Boosted | None
+    failures: dict[str, str]
+
+
+_CANDIDATE = ["candidate", "model", "params"]
+
+
+def fold_scores(predictions: DataFrame, by: Sequence[str], label: str, fold: str = "fold") -> DataFrame:
+    """Rows, accuracy, macro and weighted F1 of stored predictions for each of ``by`` and fold."""
+    groups = [*by, fold]
+    sizes = predictions.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"))
+    scored = classification_metrics(predictions, label, "prediction", groups).select(*groups, "accuracy", "macro_f1", "weighted_f1")
+    return null_safe_join(sizes, scored, groups)
+
+
+def tune(
+    df: DataFrame, label: str, key: str, columns: Sequence[str], candidates: Sequence[tuple[str, dict]], path: str,
+    selector: str = "weighted_f1", fold: str = "fold", parallelism: int = 4,
+) -> Tuned:
+    """Cross-validate candidates (model, params) of any families on one fold table and refit the best on all rows.
+
+    Every candidate predicts each fold with a model that has not seen it; predictions are stored below ``path`` and scored
+    there, so scores can be traced to rows. The best mean of ``selector`` (accuracy, macro_f1 or weighted_f1) wins, the first
+    candidate on ties, and is saved to ``path``/best. A candidate that fails is recorded and the others go on. Fits do not
+    depend on one another: ``parallelism`` of them run at a time.
+    """
+    check_trainable(df, columns)
+    spark = df.sparkSession
+    data = cut_lineage(assemble(df, columns).select(key, label, fold, *columns, "features"))
+    folds = sorted(r[0] for r in data.select(fold).distinct().collect())  # k values
+    failures: dict[str, str] = {}
+
+    def run(job: tuple[int, str, dict, object]) -> None:
+        i, name, params, k = job
+        if f"{i} {name}" in failures:
+            return
+        try:
+            out = fit(data.filter(F.col(fold) != k), label, columns, name, **params).predict(data.filter(F.col(fold) == k))
+            named = out.select(F.lit(i).alias("candidate"), F.lit(name).alias("model"), F.lit(json.dumps(params, sort_keys=True)).alias("params"), fold, key, label, "prediction")
+            named.write.mode("overwrite").parquet(f"{path}/predictions/{i}-{k}")
+        except Exception as exc:  # noqa: BLE001
+            failures[f"{i} {name}"] = str(exc).splitlines()[0]
+
+    jobs = [(i, name, params, k) for i, (name, params) in enumerate(candidates) for k in folds]
+    with ThreadPool(parallelism) as pool:
+        pool.map(inheritable_thread_target(run), jobs, chunksize=1)
+    whole = [i for i, (name, _) in enumerate(candidates) if f"{i} {name}" not in failures]
+    if not whole:
+        nothing = spark.createDataFrame([], "candidate int, model string, params string")
+        return Tuned(nothing, nothing, nothing, None, failures)
+    predictions = spark.read.parquet(*[f"{path}/predictions/{i}-{k}" for i in whole for k in folds])
+    scores = cut_lineage(fold_scores(predictions, _CANDIDATE, label, fold))
+    ranking = scores.groupBy(*_CANDIDATE).agg(*[F.avg(c).alias(c) for c in ("accuracy", "macro_f1", "weighted_f1")])
+    ranking = ranking.orderBy(F.desc(F.round(selector, 12)), "candidate")  # one row per candidate
+    name, params = candidates[ranking.first()["candidate"]]
+    best = fit(data, label, columns, name, **params)
+    best.save(f"{path}/best")
+    return Tuned(predictions, scores, ranking, best, failures)
+
+
 def importances(trained: Trained) -> DataFrame:
     """Feature importances of trees, mean absolute coefficients of linear models."""
     if isinstance(trained, boosting.Boosted):

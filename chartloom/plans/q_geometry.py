@@ -256,10 +256,10 @@ def _circles(spark, sf):
     sql=oracle(
         "elements",
         SEGMENTS
-        + """, l AS (SELECT *, lag(x2) OVER o AS px, lag(y2) OVER o AS py, lag(slope) OVER o AS ps FROM g WINDOW o AS (PARTITION BY image_id ORDER BY x, seq)),
-a AS (SELECT image_id, count(*) AS segments, count(*) FILTER (sqrt((px - x) * (px - x) + (py - y) * (py - y)) < 64) AS chains, count(*) FILTER (abs(slope - ps) > 0.2) AS changes, var_pop(slope) AS sv, avg(slope) AS sm FROM l GROUP BY 1)
+        + """, l AS (SELECT *, lag(x2) OVER o AS px, lag(y2) OVER o AS py, lag(slope) OVER o AS ps FROM d WINDOW o AS (PARTITION BY image_id ORDER BY x, seq)),
+a AS (SELECT image_id, count(*) AS segments, count(*) FILTER (sqrt((px - x) * (px - x) + (py - y) * (py - y)) < 64) AS chains, count(*) FILTER (abs(slope - ps) > 0.2) AS changes, count(*) FILTER (direction = 'diagonal') AS n, var_pop(slope) FILTER (direction = 'diagonal') AS sv, avg(slope) FILTER (direction = 'diagonal') AS sm FROM l GROUP BY 1)
 SELECT image_id, segments, round(CASE WHEN segments > 1 THEN chains / greatest(1, segments - 1) ELSE 0 END, 7) AS continuity, round(CASE WHEN segments > 1 THEN changes / segments ELSE 0 END, 7) AS slope_change_frequency,
- round(CASE WHEN segments > 1 THEN sv ELSE 0 END, 7) AS slope_variance, round(CASE WHEN segments > 1 THEN 1 - least(1, sv / (abs(sm) + 1)) ELSE 0 END, 7) AS slope_continuity FROM a""",
+ round(CASE WHEN n > 1 THEN sv ELSE 0 END, 7) AS slope_variance, round(CASE WHEN n > 1 THEN 1 - least(1, sv / (abs(sm) + 1)) ELSE 0 END, 7) AS slope_continuity FROM a""",
     ),
 )
 def _chains(spark, sf):

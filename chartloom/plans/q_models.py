@@ -12,7 +12,7 @@ from chartloom.operators import sampling as S
 from chartloom.operators.kernels import fourier_column
 from chartloom.plans.q_quality import wide_features
 from chartloom.plans.registry import query
-from chartloom.plans.views import table
+from chartloom.plans.views import oracle, table, view
 from chartloom.sources.tables import scratch_path
 
 COLUMNS = [f"feature_{i:02d}" for i in range(64)]
@@ -139,6 +139,38 @@ def _grid(spark, sf):
     return ML.grid_search(df, "label", COLUMNS, "random_forest", {"numTrees": [50, 100], "maxDepth": [5, 10]})
 
 
+# one setting of each family; README names the study's grids and what they cost
+CANDIDATES = [
+    ("logistic_regression", {"maxIter": 200}), ("random_forest", {"numTrees": 100}), ("rbf_svm", {"frequencies": 128}), ("boosted_trees", {"rounds": 50}),
+]
+
+
+@query("tuned_scores", "M8", "M11")
+def _tuned(spark, sf):
+    df = S.stratified_folds(_data(spark, sf), "label", "vec_id", k=5)
+    return ML.tune(df, "label", "vec_id", COLUMNS, CANDIDATES, scratch_path(spark, "tuned")).scores
+
+
+@query(
+    "fold_scores",
+    "M8",
+    "M11",
+    sql=oracle(
+        "pred",
+        """SELECT p.source, p.fold, n, round(acc, 9) AS accuracy, round(avg(CASE WHEN s + g > 0 THEN 2 * h / (s + g) ELSE 0 END), 9) AS macro_f1,
+ round(sum(s * CASE WHEN s + g > 0 THEN 2 * h / (s + g) ELSE 0 END) / sum(s), 9) AS weighted_f1
+FROM (SELECT source, id % 5 AS fold, count(*) AS n, avg(CAST(truth = pred AS INT)) AS acc FROM v_pred GROUP BY 1, 2) p
+JOIN (SELECT source, fold, c, sum(s) AS s, sum(g) AS g, sum(h) AS h FROM (
+  SELECT source, id % 5 AS fold, truth AS c, 1 AS s, 0 AS g, CAST(truth = pred AS INT) AS h FROM v_pred
+  UNION ALL SELECT source, id % 5, pred, 0, 1, 0 FROM v_pred) a GROUP BY 1, 2, 3) q ON p.source = q.source AND p.fold = q.fold
+GROUP BY 1, 2, 3, 4""",
+    ),
+)
+def _fold_scores(spark, sf):
+    stored = view(spark, sf, "pred").select("source", (F.col("id") % 5).alias("fold"), "truth", F.col("pred").alias("prediction"))
+    return ML.fold_scores(stored, ["source"], "truth").select("source", "fold", "n", *[F.round(c, 9).alias(c) for c in ("accuracy", "macro_f1", "weighted_f1")])
+
+
 @query("out_of_fold_predictions", "M9")
 def _oof(spark, sf):
     df = S.stratified_folds(_data(spark, sf), "label", "vec_id", k=5)
@@ -149,8 +181,7 @@ def _oof(spark, sf):
 @query("model_selection", "M10", "M11")
 def _selection(spark, sf):
     train, val, _ = _split(spark, sf)
-    models = {k: STUDY[k] for k in ("logistic_regression", "random_forest")}
-    return ML.compare(train, val, "label", COLUMNS, models).scores
+    return ML.compare(train, val, "label", COLUMNS, STUDY).scores
 
 
 @query("feature_importances", "M12", "T4")

@@ -159,6 +159,24 @@ def _deficit(spark, sf):
     return need.withColumn("share", share.cast("bigint"))
 
 
+_ALLOCATED = """c AS (SELECT t, lang, n, rank() OVER (PARTITION BY t ORDER BY n DESC, lang) AS place, greatest(1, floor(t * n / sum(n) OVER (PARTITION BY t))) AS f
+ FROM (SELECT lang, count(*) AS n FROM documents GROUP BY 1) a, (VALUES (5), (1000)) v(t)),
+r AS (SELECT *, t - sum(f) OVER (PARTITION BY t) AS rest FROM c),
+g AS (SELECT *, min(CASE WHEN rest > 0 OR f > -rest THEN place END) OVER (PARTITION BY t) AS chosen FROM r)"""
+
+
+@query(
+    "proportional_allocation",
+    "A39",
+    sql=f"WITH {_ALLOCATED} SELECT CAST(t AS INT) AS total, lang, n, CAST(f + CASE WHEN place = chosen THEN rest ELSE 0 END AS BIGINT) AS count FROM g",
+)
+def _allocation(spark, sf):
+    # five leaves an excess over the minimum of 1 for each language, a thousand a shortfall from rounding
+    targets = table(spark, sf, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).withColumn("order", -F.col("n"))
+    parts = [S.allocate(targets, "lang", "n", total, "order").select(F.lit(total).alias("total"), "lang", "n", "count") for total in (5, 1000)]
+    return parts[0].unionByName(parts[1])
+
+
 @query(
     "next_free_index",
     "A38",

@@ -28,7 +28,7 @@ def test_label_functions(spark):
     assert paths.select(L.infer_split(F.col("p"))).collect()[1][0] == "validation"
 
 
-@pytest.mark.parametrize("sizes", [{"a": 300, "b": 20, "c": 7}, {"a": 50, "b": 1}, {"a": 9}])
+@pytest.mark.parametrize("sizes", [{"a": 300, "b": 20, "c": 7}, {"a": 50, "b": 1}, {"a": 48, "b": 3}, {"a": 30, "b": 4}, {"a": 9}])
 def test_splits_partition_the_input(spark, sizes):
     df = _labelled(spark, sizes)
     out = S.stratified_split(df, "label", "key")
@@ -36,7 +36,7 @@ def test_splits_partition_the_input(spark, sizes):
     counts = {(r["label"], r["split"]): r["count"] for r in out.groupBy("label", "split").count().collect()}
     if len(sizes) == 1:
         assert counts == {("a", "train"): 9}
-    elif min(sizes.values()) >= 2:
+    elif min(sizes.values()) >= 4:
         for c, n in sizes.items():
             assert counts[(c, "train")] == int(n * 0.7)
     else:
@@ -55,11 +55,15 @@ def test_balance_cap_and_folds(spark):
 
 def test_allocation(spark):
     def shares(targets, total):
-        rows = spark.createDataFrame(list(targets.items()), "label string, target bigint")
-        return {r.label: r["count"] for r in S.allocate(rows, "label", "target", total).collect()}
+        rows = spark.createDataFrame([(k, v, i) for i, (k, v) in enumerate(targets.items())], "label string, target bigint, place int")
+        return {r.label: r["count"] for r in S.allocate(rows, "label", "target", total, "place").collect()}
 
-    assert shares({"bar": 300, "pie": 100}, 10) == {"bar": 8, "pie": 2}
+    assert shares({"pie": 300, "bar": 100}, 10) == {"pie": 8, "bar": 2}
     assert shares({"bar": 997, "pie": 1, "line": 2}, 10) == {"bar": 8, "pie": 1, "line": 1}
+    # the giver is the first by the given order, not by name, whose share exceeds the excess
+    assert shares({"t1": 1, "zed": 500, "abc": 500, "t2": 1}, 5) == {"t1": 1, "zed": 1, "abc": 2, "t2": 1}
+    assert shares({"t1": 1, "zed": 500, "abc": 500}, 4) == {"t1": 2, "zed": 1, "abc": 1}
+    assert shares({"a": 1, "b": 1, "c": 1}, 2) == {"a": 1, "b": 1, "c": 1}  # no class can give
 
 
 def test_report_matches_hand_count(spark):
