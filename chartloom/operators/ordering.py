@@ -164,85 +164,56 @@ def previous_row(df: DataFrame, group: str, x: str, seq: str, columns: Sequence[
     )
 
 
-def exact_quantiles(
-    df: DataFrame,
-    groups: Sequence[str],
-    value: str,
-    probs: Sequence[float],
-    *,
-    accuracy: int = 10_000,
-) -> DataFrame:
+_PIVOTS = 63
+_HELD = 1 << 14  # values of one rank's bracket that are sorted together
+
+
+def _narrow(rows: DataFrame, keys: list[str], wanted: DataFrame, out: list[str]) -> DataFrame:
+    """For each wanted rank the part of the rows between two pivots that holds it: _lo, _hi, _size and the rank inside it.
+
+    Pivots are quantiles of a mergeable sketch, so a part holds a small share of the rows or a single value.
+    """
+    probs = [float((i + 1) / (_PIVOTS + 1)) for i in range(_PIVOTS)]
+    pivots = rows.groupBy(*keys).agg(F.percentile_approx("_v", probs, 10_000).alias("_p"))
+    part = F.size(F.filter("_p", lambda p: p < F.col("_v")))
+    parts = null_safe_join(rows, pivots, keys).withColumn("_b", part).groupBy(*keys, "_b").agg(
+        F.count(F.lit(1)).alias("_size"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
+    )
+    # at most one row per pivot and key
+    upto = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    placed = parts.withColumn("_before", F.sum("_size").over(upto) - F.col("_size"))
+    inside = (F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_size"))
+    return null_safe_join(wanted, placed, keys).filter(inside).select(*out, (F.col("_rank") - F.col("_before")).alias("_rank"), "_f", "_lo", "_hi", "_size")
+
+
+def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: Sequence[float], *, held: int = _HELD) -> DataFrame:
     """Exact linearly interpolated quantiles per group: columns groups, q, quantile.
 
-    A mergeable sketch brackets every wanted rank; one more pass counts what lies below the
-    bracket and keeps only the distinct values inside it. No group is collected. A missed
-    bracket raises instead of giving a wrong number.
+    Selection by rank in rounds: every round cuts what may hold a wanted rank at pivots, counts the parts and goes on with
+    the one that holds it, until it is a single value or fits into ``held`` values, which are sorted. Rounds grow with the
+    logarithm of the rows, and no task sees more than its share of a group.
     """
     groups = list(groups)
-    slack = 4.0 / accuracy
-    edges = sorted({min(1.0, max(0.0, p + s)) for p in probs for s in (-slack, slack)})
     rows = df.select(*groups, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    sketch = rows.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
-        F.percentile_approx("_v", [float(e) for e in edges], accuracy).alias("_e"),
-    )
-
-    def edge(p: float, sign: int) -> Column:
-        bound = min(1.0, max(0.0, p + sign * slack))
-        if bound == 0.0:
-            return F.col("_min")
-        if bound == 1.0:
-            return F.col("_max")
-        # a small group is its own bracket; in larger ones the slack spans several ranks
-        whole = F.col("_min") if sign < 0 else F.col("_max")
-        return F.when(F.col("_n") <= accuracy, whole).otherwise(F.col("_e")[edges.index(bound)])
-
-    brackets = sketch.select(
-        *groups,
-        "_n",
-        F.array(
-            *[
-                F.struct(F.lit(float(p)).alias("q"), edge(p, -1).alias("lo"), edge(p, 1).alias("hi"))
-                for p in probs
-            ]
-        ).alias("_b"),
-    )
-    if groups:
-        joined = null_safe_join(rows, brackets, groups)
-    else:
-        one = brackets.select(F.struct("_n", "_b").alias("_s")).scalar()
-        joined = rows.withColumn("_s", one).select("_v", "_s._n", "_s._b")
-    probed = joined.select(*groups, "_n", "_v", F.explode("_b").alias("_b")).select(
-        *groups, "_n", F.col("_b.q").alias("q"), "_v", F.col("_b.lo").alias("_lo"), F.col("_b.hi").alias("_hi")
-    )
-    # rows under the bracket collapse to one key, rows above it are not needed
-    values = (
-        probed.filter(F.col("_v") <= F.col("_hi"))
-        .withColumn("_k", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")))
-        .groupBy(*groups, "q", "_n", "_k")
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    upto = (
-        Window.partitionBy(*groups, "q")
-        .orderBy(F.col("_k").asc_nulls_first())
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    ranked = values.withColumn("_cum", F.sum("_c").over(upto)).withColumn(
-        "_pos", F.col("q") * (F.col("_n") - 1)
-    )
-    low = F.floor("_pos")
-    picked = ranked.groupBy(*groups, "q").agg(
-        F.first(F.col("_pos") - low).alias("_f"),
-        F.min(F.when(F.col("_cum") > low, F.struct(F.col("_cum"), F.col("_k")))).alias("_a"),
-        F.min(
-            F.when(F.col("_cum") > F.least(low + 1, F.col("_n") - 1), F.struct(F.col("_cum"), F.col("_k")))
-        ).alias("_z"),
-    )
-    lo_v, hi_v = F.col("_a._k"), F.col("_z._k")
-    checked = F.when(
-        lo_v.isNull() | hi_v.isNull(),
-        F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"),
-    ).otherwise(lo_v + (hi_v - lo_v) * F.col("_f"))
-    return picked.select(*groups, "q", checked.alias("quantile"))
+    place = [F.lit(float(p)) * (F.col("_n") - 1) for p in probs]
+    ends = [F.struct(F.lit(2 * i + up).alias("_k"), F.least(F.floor(x) + up, F.col("_n") - 1).alias("_rank"), (x - F.floor(x)).alias("_f")) for i, x in enumerate(place) for up in (0, 1)]
+    sizes = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 0")
+    wanted, keys, named = sizes.select(*groups, F.explode(F.array(*ends)).alias("_e")).select(*groups, "_e.*"), groups, [*groups, "_k"]
+    found = None
+    while True:
+        brackets = cut_lineage(_narrow(rows, keys, wanted, named))
+        single = brackets.filter("_lo = _hi").select(*named, "_f", F.col("_lo").alias("_value"))
+        found = single if found is None else found.unionByName(single)
+        spread = brackets.filter("_lo <> _hi")
+        few = spread.filter(F.col("_size") <= held)
+        within = lambda some: null_safe_join(rows, some, keys).filter("_v BETWEEN _lo AND _hi")  # noqa: E731, B023
+        kept = within(few).groupBy(*named, "_f", "_rank").agg(F.sort_array(F.collect_list("_v")).alias("_all"))
+        found = found.unionByName(kept.select(*named, "_f", F.element_at("_all", (F.col("_rank") + 1).cast("int")).alias("_value")))
+        wanted = spread.filter(F.col("_size") > held).select(*named, "_rank", "_f")
+        if wanted.isEmpty():
+            break
+        rows, keys = cut_lineage(within(spread.filter(F.col("_size") > held)).select(*named, "_v")), named
+    q = F.array(*[F.lit(float(p)) for p in probs])[F.shiftright("_k", 1)].alias("q")
+    low, high = (F.max(F.when(F.col("_k") % 2 == up, F.col("_value"))) for up in (0, 1))
+    both = found.groupBy(*groups, q).agg(low.alias("_a"), high.alias("_z"), F.max("_f").alias("_f"))
+    return both.select(*groups, "q", (F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_f")).alias("quantile"))

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -55,9 +56,20 @@ def test_exact_quantiles(spark):
         got = {(r["g"], r["q"]): r["quantile"] for r in O.exact_quantiles(df, ["g"], value, [0.0, 0.25, 0.5, 1.0]).collect()}
         for (g, q), have in got.items():
             assert abs(have - np.percentile([r[value] for r in rows if r["g"] == g], q * 100)) < 1e-12
-    # a coarse sketch makes the groups large in its terms, so the brackets are really used
+    # with few values held the selection goes on for several rounds
     for p in (0.25, 0.5, 0.9):
-        got = O.exact_quantiles(df, [], "v", [p], accuracy=100).first()["quantile"]
+        got = O.exact_quantiles(df, [], "v", [p], held=3).first()["quantile"]
         assert abs(got - np.percentile([r["v"] for r in rows], p * 100)) < 1e-12
     whole = O.exact_quantiles(df, [], "v", [0.5]).first()["quantile"]
     assert abs(whole - np.median([r["v"] for r in rows])) < 1e-12
+
+
+@pytest.mark.parametrize("value", ["CAST(7 AS DOUBLE)", "CAST(pmod(id * 7919, 1000003) AS DOUBLE)", "pow(2D, CAST(pmod(id * 7919, 1000003) AS DOUBLE) / 5000)", "IF(id % 3 = 0, 1D, CAST(id AS DOUBLE))"])
+def test_quantiles_of_many_rows(spark, value):
+    """A million equal, distinct, widely spread and partly equal values."""
+    n = 1_000_003
+    df = spark.range(n).selectExpr(f"{value} AS v")
+    got = {r.q: r.quantile for r in O.exact_quantiles(df, [], "v", [0.0, 0.1, 0.5, 0.999, 1.0], held=100).collect()}
+    rows = np.sort(df.toPandas()["v"].to_numpy())
+    assert got == pytest.approx({q: np.percentile(rows, q * 100) for q in got}, rel=1e-12)
+    assert O.exact_quantiles(df.limit(0), [], "v", [0.5]).count() == 0
