@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,35 +66,60 @@ def cache_stats(inputs: DataFrame, cache: DataFrame, key: str) -> DataFrame:
 
 
 class ResultCache:
-    """Results stored as Parquet under their content key; only unseen keys are computed."""
+    """Results stored as Parquet under their content key; only unseen keys are computed.
+
+    Parts are written once and never changed. A manifest of events (version, kind, part) says which parts a version holds:
+    ``add`` brings one part in, ``clear`` starts anew. A reader that keeps to one version sees the same rows whatever is
+    added or cleared afterwards; a part whose job died before its event was written belongs to no version.
+    """
 
     def __init__(self, spark: SparkSession, path: str, key: str = "content_key"):
         self.spark, self.path, self.key = spark, path, key
 
-    def read(self) -> DataFrame | None:
+    def _events(self) -> list[tuple[int, str, str]]:
         try:
-            return self.spark.read.parquet(self.path)
+            rows = self.spark.read.schema("version bigint, kind string, part string").parquet(f"{self.path}/manifest").collect()
         except Exception as exc:
-            if "PATH_NOT_FOUND" in str(exc) or "UNABLE_TO_INFER_SCHEMA" in str(exc):
-                return None
+            if "PATH_NOT_FOUND" in str(exc):
+                return []
             raise
+        return sorted((r.version, r.kind, r.part or "") for r in rows)  # one row per run of the cache
+
+    def _record(self, kind: str, part: str | None = None) -> None:
+        row = [(self.version() + 1, kind, part)]
+        self.spark.createDataFrame(row, "version bigint, kind string, part string").coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+
+    def version(self) -> int:
+        """The newest version; 0 before anything was stored."""
+        return max((v for v, *_ in self._events()), default=0)
+
+    def read(self, version: int | None = None) -> DataFrame | None:
+        """All results of a version (the newest one if none is named); None if it holds no part."""
+        parts: list[str] = []
+        for v, kind, part in self._events():
+            if version is None or v <= version:
+                parts = [*parts, part] if kind == "add" else []
+        return self.spark.read.parquet(*[f"{self.path}/parts/{p}" for p in parts]) if parts else None
 
     def compute_missing(self, inputs: DataFrame, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
-        """Append results for unseen keys (one per key) and return results for all inputs."""
+        """Add results for unseen keys (one per key) as a new version and return results for all inputs."""
         stored = self.read()
         wanted = inputs.dropDuplicates([self.key])
         todo = wanted if stored is None else split_by_cache(wanted, stored, self.key)[1]
-        compute(todo).write.mode("append").parquet(self.path)
+        part = uuid.uuid4().hex
+        compute(todo).write.parquet(f"{self.path}/parts/{part}")
+        self._record("add", part)
         return inputs.select(self.key).join(self.read(), self.key, "left")
 
-    def stats(self, inputs: DataFrame) -> DataFrame:
-        stored = self.read()
+    def stats(self, inputs: DataFrame, version: int | None = None) -> DataFrame:
+        stored = self.read(version)
         if stored is None:
             return inputs.agg(F.lit(0).cast("bigint").alias("hits"), F.count(F.lit(1)).alias("misses"), F.lit(0).cast("bigint").alias("entries"))
         return cache_stats(inputs, stored, self.key)
 
-    def invalidate(self, schema) -> None:
-        self.spark.createDataFrame([], schema).write.mode("overwrite").parquet(self.path)
+    def invalidate(self) -> None:
+        """A new version without results; earlier versions stay readable."""
+        self._record("clear")
 
 
 def reuse_features(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from chartloom.functions import labels as L
@@ -10,7 +12,9 @@ from chartloom.operators import resolve as R
 from chartloom.plans.q_labels import STANDARD_SQL, label_sql
 from chartloom.plans.registry import query
 from chartloom.plans.views import oracle, table, view
+from chartloom.session import cut_lineage
 from chartloom.sources.files import number_rows
+from chartloom.sources.tables import scratch_path
 
 
 @query(
@@ -213,6 +217,70 @@ def _cache_stats(spark, sf):
     return FP.cache_stats(pages, pages.filter(F.col("url").startswith("https")), "content_key")
 
 
+def _page_lengths(df):
+    return df.select("content_key", F.length("url").cast("bigint").alias("result"))
+
+
+@query(
+    "cache_runs",
+    "J16",
+    sql="""WITH k AS (SELECT url, sha256(html || 'v1') AS key FROM pages), h AS (SELECT DISTINCT key FROM k WHERE url LIKE 'https%'),
+n AS (SELECT count(*) AS pages, count(DISTINCT key) AS keys, count(*) FILTER (key IN (SELECT key FROM h)) AS known, (SELECT count(*) FROM h) AS held FROM k)
+SELECT 'empty' AS state, CAST(0 AS BIGINT) AS hits, pages AS misses, CAST(0 AS BIGINT) AS entries FROM n
+UNION ALL SELECT 'first run', known, pages - known, held FROM n UNION ALL SELECT 'second run', pages, 0, keys FROM n
+UNION ALL SELECT 'invalidated', 0, pages, 0 FROM n UNION ALL SELECT 'pinned to the first run', known, pages - known, held FROM n""",
+)
+def _cache_runs(spark, sf):
+    pages = _keyed_pages(spark, sf)
+    cache = FP.ResultCache(spark, scratch_path(spark, "cache"))
+    states = [("empty", cache.stats(pages))]
+    cache.compute_missing(pages.filter(F.col("url").startswith("https")), _page_lengths)
+    first = cache.version()
+    states.append(("first run", cache.stats(pages)))
+    cache.compute_missing(pages, _page_lengths)
+    states.append(("second run", cache.stats(pages)))
+    cache.invalidate()
+    states += [("invalidated", cache.stats(pages)), ("pinned to the first run", cache.stats(pages, first))]
+    parts = [stats.select(F.lit(state).alias("state"), "hits", "misses", "entries") for state, stats in states]
+    return functools.reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@query(
+    "cached_results",
+    "J16",
+    sql="""WITH k AS (SELECT page_id, sha256(html || 'v1') AS key, length(html) AS n FROM pages)
+SELECT page_id, key AS content_key, CAST(n AS BIGINT) AS result FROM k""",
+)
+def _cached_results(spark, sf):
+    pages = table(spark, sf, "pages").select("page_id", "url", "html", FP.content_key(F.col("html"), "v1").alias("content_key"))
+    cache = FP.ResultCache(spark, scratch_path(spark, "cache"))
+    lengths = lambda df: df.select("content_key", F.length("html").cast("bigint").alias("result"))
+    cache.compute_missing(pages.filter(F.col("url").startswith("https")), lengths)
+    results = cache.compute_missing(pages, lengths).distinct()
+    return pages.select("page_id", "content_key").join(results, "content_key").select("page_id", "content_key", "result")
+
+
+@query(
+    "reused_features",
+    "J17",
+    sql=oracle(
+        "images",
+        """SELECT call, built_by, image_name, CAST(file_size AS BIGINT) AS file_size FROM v_images, (VALUES ('first', 'first'), ('same rows', 'first'), ('other rows', 'third')) v(call, built_by)
+WHERE call <> 'other rows' OR url NOT LIKE '%.html'""",
+    ),
+)
+def _reused(spark, sf):
+    images, path = view(spark, sf, "images"), scratch_path(spark, "features")
+    cols = ["image_name", "file_size", "mtime"]
+    out = None
+    for call, builder, rows in (("first", "first", images), ("same rows", "second", images), ("other rows", "third", images.filter(~F.col("url").endswith(".html")))):
+        made = FP.reuse_features(rows, cols, path, lambda d, b=builder: d.select("image_name", "file_size", F.lit(b).alias("built_by")))
+        # the next call may store another table at this path
+        kept = cut_lineage(made.select(F.lit(call).alias("call"), "built_by", "image_name", F.col("file_size").cast("bigint").alias("file_size")))
+        out = kept if out is None else out.unionByName(kept)
+    return out
+
+
 def _tree_sql(group: str, source: str) -> str:
     g = f"{group}, " if group else ""
     by = f"GROUP BY {group}" if group else ""

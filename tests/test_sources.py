@@ -72,8 +72,15 @@ def test_content_cache(spark, folder, tmp_path):
     cache.compute_missing(rows, compute)
     assert calls == [rows.select("content_key").distinct().count(), 0]
     assert cache.stats(rows).first()["misses"] == 0
-    cache.invalidate("content_key string, result int")
-    assert cache.stats(rows).first()["hits"] == 0
+    pinned = cache.version()
+    cache.invalidate()
+    assert cache.stats(rows).first()["hits"] == 0 and cache.read() is None
+    assert cache.stats(rows, pinned).first()["misses"] == 0  # a reader of the earlier version still has all
+    again = cache.compute_missing(rows.limit(1), compute)
+    assert again.count() == 1 and cache.read().count() == 1 and cache.version() == pinned + 2
+    # a part without an event is no part of any version
+    rows.select("content_key", F.lit(0).alias("result")).write.parquet(str(tmp_path / "cache" / "parts" / "lost"))
+    assert cache.read().count() == 1
 
 
 def test_fingerprint_and_feature_reuse(spark, tmp_path):
