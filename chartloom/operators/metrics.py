@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartloom.functions.labels import UNKNOWN
@@ -263,8 +263,7 @@ def ratio_of_sums(df: DataFrame, found: str, total: str, success: Column) -> Dat
 
 def category_shares(df: DataFrame, key: str) -> DataFrame:
     counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    # one row per category
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    return counts.withColumn("share", F.col("n") / counts.agg(F.sum("n")).scalar())
 
 
 def fixed_bins(df: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:

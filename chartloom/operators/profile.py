@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chartloom.operators.ordering import null_safe_join, running_totals
+from chartloom.session import cut_lineage
+
 
 def stage_profile(df: DataFrame, stage: str, seconds: str, declared: Sequence[str] = ()) -> DataFrame:
     """Total, count and mean per stage; declared stages without data read 0.
@@ -30,47 +35,96 @@ def stage_profile(df: DataFrame, stage: str, seconds: str, declared: Sequence[st
     return stages.unionByName(overall)
 
 
+_PIECE_BITS = 13  # epochs of a model are folded in pieces of up to 2**13
+
+
+def improvements(values: np.ndarray, best: float, min_delta: float) -> np.ndarray:
+    """Places at which the accepted best changes, from an incoming best: each beats the one before by more than ``min_delta``."""
+    before = np.concatenate([[-np.inf], np.maximum.accumulate(values)[:-1]])
+    records = np.flatnonzero(values > before)  # nothing else can beat an accepted best
+    out, held = [], values[records]
+    at = int(np.searchsorted(held, best + min_delta, "right"))
+    while at < len(held):
+        out.append(records[at])
+        at = int(np.searchsorted(held, held[at] + min_delta, "right"))
+    return np.array(out, np.int64)
+
+
+def _run(values: np.ndarray, best: float, stale: int, min_delta: float, patience: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """For one piece and its incoming state: place of the accepted best (-1: the incoming one) and epochs without improvement
+    after every row, and the number of rows up to the early stop."""
+    n = len(values)
+    found = improvements(values, best, min_delta)
+    place = np.full(n, -1)
+    place[found] = found
+    place = np.maximum.accumulate(place) if n else place
+    waited = np.where(place < 0, stale + 1 + np.arange(n), np.arange(n) - place)
+    late = np.flatnonzero(waited >= patience)
+    return place, waited, int(late[0]) + 1 if len(late) else n
+
+
 def epoch_tracking(
     df: DataFrame, model: str, epoch: str, metric: str, *, min_delta: float = 0.0, patience: int = 5
 ) -> DataFrame:
     """Best value so far, improvement flag and epochs without improvement, up to the early stop.
 
-    An epoch improves if it beats the last *accepted* best by more than ``min_delta``, so the
-    state is folded over the ordered history of each model, which has one entry per epoch.
+    An epoch improves if it beats the last *accepted* best by more than ``min_delta``; a missing value never does. The
+    epochs are sorted once and cut into pieces. Only rising records of a piece can be accepted, so they stand for the piece
+    when the state is carried from piece to piece; then the rows of all pieces are replayed, each from its own state.
     """
-    history = F.array_sort(F.collect_list(F.struct(F.col(epoch).alias("epoch"), F.col(metric).cast("double").alias("value"))))
-    state_type = (
-        "struct<best:double,best_epoch:int,stale:int,stopped:boolean,"
-        "rows:array<struct<epoch:int,value:double,improved:boolean,best:double,best_epoch:int,stale:int,stop:boolean>>>"
-    )
-    start = F.expr(f"CAST(named_struct('best', -1.0D, 'best_epoch', 0, 'stale', 0, 'stopped', false, 'rows', array()) AS {state_type})")
-
-    def step(s, e):
-        better = e["value"] > s["best"] + F.lit(min_delta)
-        best = F.when(better, e["value"]).otherwise(s["best"])
-        best_epoch = F.when(better, e["epoch"].cast("int")).otherwise(s["best_epoch"])
-        stale = F.when(better, F.lit(0)).otherwise(s["stale"] + 1)
-        stop = stale >= patience
-        row = F.struct(
-            e["epoch"].cast("int").alias("epoch"), e["value"].alias("value"), better.alias("improved"),
-            best.alias("best"), best_epoch.alias("best_epoch"), stale.alias("stale"), stop.alias("stop"),
-        )
-        nxt = F.struct(
-            best.alias("best"), best_epoch.alias("best_epoch"), stale.alias("stale"), stop.alias("stopped"),
-            F.concat(s["rows"], F.array(row)).alias("rows"),
-        )
-        return F.when(s["stopped"], s).otherwise(nxt.cast(state_type))
-
-    folded = df.groupBy(model).agg(history.alias("_h")).select(model, F.aggregate("_h", start, step).alias("_s"))
-    return folded.select(model, F.explode("_s.rows").alias("r")).select(model, "r.*")
+    kind = df.schema[model].dataType.simpleString()
+    rows = df.select(F.col(model).alias("model"), F.col(epoch).cast("int").alias("epoch"), F.col(metric).cast("double").alias("value"))
+    ordered = cut_lineage(rows.orderBy("model", "epoch").withColumn("mid", F.monotonically_increasing_id()))
+    pieces = ordered.withColumn("piece", F.shiftright("mid", _PIECE_BITS))
+    low = -np.inf  # stands for a missing value
+
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("mid")
+        v = part["value"].fillna(low).to_numpy()
+        up = np.flatnonzero(v > np.concatenate([[low], np.maximum.accumulate(v)[:-1]]))
+        return pd.DataFrame({"model": part["model"].iloc[:1], "piece": part["piece"].iloc[:1], "n": [len(v)], "at": [up], "value": [v[up]], "epoch": [part["epoch"].to_numpy()[up]]})
+
+    def carry(folded: pd.DataFrame) -> pd.DataFrame:
+        folded = folded.sort_values("piece")
+        best, best_epoch, stale, stopped, out = -1.0, 0, 0, False, []
+        for piece, n, at, value, epochs in zip(folded["piece"], folded["n"], folded["at"], folded["value"], folded["epoch"]):
+            if stopped:
+                break
+            out.append((piece, best, best_epoch, stale))
+            v = np.full(n, low)
+            v[at] = value
+            place, waited, upto = _run(v, best, stale, min_delta, patience)
+            stopped, stale = bool(waited[upto - 1] >= patience), int(waited[upto - 1])
+            if place[upto - 1] >= 0:
+                k = int(np.searchsorted(at, place[upto - 1]))
+                best, best_epoch = float(value[k]), int(epochs[k])
+        table = pd.DataFrame(out, columns=["piece", "best", "best_epoch", "stale"])
+        table.insert(0, "model", folded["model"].iloc[0])
+        return table
+
+    def replay(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("mid").reset_index(drop=True)
+        place, waited, upto = _run(part["value"].fillna(low).to_numpy(), part["best"][0], int(part["stale"][0]), min_delta, patience)
+        own = place >= 0
+        out = part[["model", "epoch", "value"]].copy()
+        out["improved"] = place == np.arange(len(part))
+        out["best"] = np.where(own, part["value"].to_numpy()[place], part["best"])
+        out["best_epoch"] = np.where(own, part["epoch"].to_numpy()[place], part["best_epoch"])
+        out["stale"], out["stop"] = waited, waited >= patience
+        return out.iloc[:upto]
+
+    folded = pieces.groupBy("model", "piece").applyInPandas(fold, f"model {kind}, piece bigint, n int, at array<int>, value array<double>, epoch array<int>")
+    states = folded.groupBy("model").applyInPandas(carry, f"model {kind}, piece bigint, best double, best_epoch int, stale int")
+    told = null_safe_join(pieces, states, ["model", "piece"])
+    schema = f"model {kind}, epoch int, value double, improved boolean, best double, best_epoch int, stale int, stop boolean"
+    return told.groupBy("model", "piece").applyInPandas(replay, schema).withColumnRenamed("model", model)
 
 
 def epoch_eta(df: DataFrame, model: str, epoch: str, seconds: str, total_epochs: int) -> DataFrame:
     """Elapsed time, mean time per epoch and remaining time after every epoch."""
-    upto = Window.partitionBy(model).orderBy(epoch).rowsBetween(Window.unboundedPreceding, 0)
-    elapsed = F.sum(seconds).over(upto)
-    done = F.count(F.lit(1)).over(upto)
-    return df.select(model, epoch, elapsed.alias("elapsed"), done.cast("bigint").alias("_d")).select(
+    rows = df.select(model, epoch, F.col(seconds).alias("_s"), F.lit(1).cast("bigint").alias("_1"))
+    done = running_totals(rows, [model], [F.col(epoch)], {"elapsed": "_s", "_d": "_1"})
+    return done.select(
         model,
         epoch,
         "elapsed",
