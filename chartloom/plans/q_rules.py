@@ -10,7 +10,7 @@ from chartloom.operators import rules as R
 from chartloom.operators import voting as V
 from chartloom.plans.q_sampling import hash_sql
 from chartloom.plans.registry import query
-from chartloom.plans.views import oracle, view
+from chartloom.plans.views import oracle, table, view
 
 _MOST = "greatest(rectangle_count, s_bars)"
 _SP = "bar_spacing_ratio"
@@ -332,7 +332,7 @@ def _margin(spark, sf):
     "R12",
     sql=oracle(
         "series",
-        """WITH s AS (SELECT image_id, label, pos, CASE WHEN label < '1996' THEN value END AS value, CASE WHEN image_id % 2 = 0 THEN 'bar_chart' ELSE 'line_chart' END AS chart_type FROM v_series),
+        """WITH s AS (SELECT c_custkey AS image_id, label, pos, value, CASE WHEN c_custkey % 2 = 0 THEN 'bar_chart' ELSE 'line_chart' END AS chart_type FROM customer LEFT JOIN v_series ON image_id = c_custkey),
 a AS (SELECT image_id, chart_type, arg_min(value, pos) AS f, arg_max(value, pos) AS l, count(value) AS n FROM s GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY value DESC, pos) AS hi, row_number() OVER (PARTITION BY image_id ORDER BY value, pos) AS lo FROM s WHERE value IS NOT NULL),
 t AS (SELECT a.*, h.label AS hl, h.value AS hv, k.label AS kl FROM a LEFT JOIN r h ON h.image_id = a.image_id AND h.hi = 1 LEFT JOIN r k ON k.image_id = a.image_id AND k.lo = 1),
@@ -343,8 +343,7 @@ SELECT *, trend || ' ' || highest || ' ' || share AS narrative FROM q""",
     ),
 )
 def _answers(spark, sf):
-    s = view(spark, sf, "series").select(
-        "image_id", "label", "pos", F.when(F.col("label") < "1996", F.col("value")).alias("value"),
-        F.when(F.col("image_id") % 2 == 0, "bar_chart").otherwise("line_chart").alias("chart_type"),
-    )
-    return R.answers(s)
+    # one chart per customer; those without orders have no values
+    charts = table(spark, sf, "customer").select(F.col("c_custkey").alias("image_id"))
+    kind = F.when(F.col("image_id") % 2 == 0, "bar_chart").otherwise("line_chart").alias("chart_type")
+    return R.answers(charts.join(view(spark, sf, "series"), "image_id", "left").select("image_id", "label", "pos", "value", kind))
