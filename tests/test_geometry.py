@@ -95,3 +95,18 @@ def test_labels_of_values(spark):
     labels = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (1, 2, "a")], "image_id int, pos int, label string")
     got = {r["label"]: r["value"] for r in V.map_labels(values, labels).collect()}
     assert got == {"a": 30.0, "b": 20.0, "Bar_4": 40.0}
+
+
+def test_clusters_of_one_image_over_many_ranges(spark):
+    """Chains whose links lie in several partitions, and other images beside them."""
+    chain = spark.range(6000).selectExpr("1 AS image_id", "CAST(3 * id AS INT) AS x", "CAST(0 AS INT) AS y")
+    gap = chain.filter("x < 9000 OR x > 9030")
+    small = spark.range(400).selectExpr("CAST(2 + id AS INT) AS image_id", "0 AS x", "0 AS y").unionByName(spark.range(400).selectExpr("CAST(2 + id AS INT) AS image_id", "CAST(4 + id % 2 AS INT) AS x", "0 AS y"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for points, want in ((chain, 1), (gap, 2)):
+            got = {r.image_id: r.clusters for r in C.count_clusters(points.unionByName(small), 4.0).collect()}
+            assert got == {1: want} | {2 + i: 1 + i % 2 for i in range(400)}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert C.count_clusters(chain.limit(0), 4.0).count() == 0
