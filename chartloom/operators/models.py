@@ -82,7 +82,7 @@ def estimator(name: str, classes: int = 2, weight: str | None = None, **params)
     raise ValueError(f"unknown model {name}")
 
 
-def _kernel_svm(data: DataFrame, classes: int, width: int, weight: str | None, c: float = 10.0, gamma: float | None = None, frequencies: int = 512, folds: int = 3, seed: int = 42, parallelism: int = 8) -> PipelineModel:
+def _kernel_svm(data: DataFrame, classes: int, width: int, weight: str | None, c: float = 10.0, gamma: float | None = None, frequencies: int = 512, folds: int = 3, iterations: int = 100, seed: int = 42, parallelism: int = 8) -> PipelineModel:
     """RBF support vector machine: Fourier features before one linear machine per class, and probabilities from margins of
     rows the machines had not seen (``folds`` parts by hash), as fitted margins would be overconfident.
 
@@ -95,7 +95,7 @@ def _kernel_svm(data: DataFrame, classes: int, width: int, weight: str | None, c
     rows = cut_lineage(mapped.transform(scaler.transform(data)).select(*keep, part))
 
     def machines(train: DataFrame) -> list:
-        svm = LinearSVC(featuresCol="fourier", labelCol="label_index", maxIter=100, tol=1e-3, regParam=1 / (c * max(1, train.count())))
+        svm = LinearSVC(featuresCol="fourier", labelCol="label_index", maxIter=iterations, tol=1e-3, regParam=1 / (c * max(1, train.count())))
         return _one_vs_rest(svm.setWeightCol(weight) if weight else svm, classes)
 
     # the machines do not depend on one another: several train at a time

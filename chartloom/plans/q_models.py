@@ -141,7 +141,7 @@ def _grid(spark, sf):
 
 # one setting of each family; README names the study's grids and what they cost
 CANDIDATES = [
-    ("logistic_regression", {"maxIter": 200}), ("random_forest", {"numTrees": 100}), ("rbf_svm", {"frequencies": 128}), ("boosted_trees", {"rounds": 50}),
+    ("logistic_regression", {"maxIter": 200}), ("random_forest", {"numTrees": 100}), ("rbf_svm", {"frequencies": 64, "folds": 2, "iterations": 20}), ("boosted_trees", {"rounds": 50}),
 ]
 
 
