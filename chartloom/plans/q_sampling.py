@@ -61,7 +61,7 @@ def _shuffle(spark, sf):
 @query(
     "cap_per_class",
     "X4",
-    sql=docs_sql("SELECT doc_id, lang FROM r WHERE r <= greatest(1, 200 // (SELECT count(DISTINCT lang) FROM r))"),
+    sql=docs_sql("SELECT doc_id, lang FROM r WHERE (SELECT count(*) FROM r) <= 200 OR r <= greatest(1, 200 // (SELECT count(DISTINCT lang) FROM r))"),
 )
 def _cap(spark, sf):
     return S.cap_per_class(view(spark, sf, "docs"), "lang", "doc_id", 200).select("doc_id", "lang")
