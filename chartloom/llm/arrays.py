@@ -34,24 +34,8 @@ def seeds(n: int, salt: int = 0) -> np.ndarray:
         return mix((np.arange(1, n + 1, dtype=U64) + U64(salt * 1_000_003)) * U64(_GOLDEN))
 
 
-_BYTE = seeds(256, 1)
-_BASE = int(seeds(1, 2)[0]) | 1
 _ORDER = seeds(64, 3) | U64(1)
-_pow = np.ones(1, U64), np.ones(1, U64)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2**64, at least ``n`` of each."""
-    global _pow
-    if len(_pow[0]) < n:
-        size = max(n, 2 * SLICE_BYTES)
-        made = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            p = np.ones(size, U64)
-            p[1:] = U64(base)
-            made.append(np.multiply.accumulate(p))
-        _pow = made[0], made[1]
-    return _pow
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
 
 
 @dataclass
@@ -127,16 +111,33 @@ def lines(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, ends, first
 
 
+def sequences(x: np.ndarray, first: np.ndarray, salt: int = 0) -> np.ndarray:
+    """64-bit hash of each row's stretch of values. Every value is scrambled with its place before it is added, so no linear
+    relation between stretches makes them equal; another ``salt`` gives an independent hash."""
+    count = np.diff(first)
+    out = np.zeros(len(count), U64)
+    full = np.flatnonzero(count)
+    if len(full):
+        place = np.arange(len(x)) - np.repeat(first[:-1], count)
+        out[full] = np.add.reduceat(mix(x ^ seeds(int(count.max()), 31 + salt)[place]), first[:-1][full])
+    return mix(out + count.astype(U64) * U64(_GOLDEN))
+
+
 class SpanHash:
-    """64-bit hashes of byte spans of one slice, from prefix sums of a polynomial."""
+    """64-bit hashes of byte spans of one slice, from their groups of eight bytes; ``salt`` as in ``sequences``. Empty spans
+    are zero."""
 
     def __init__(self, buf: np.ndarray):
-        self.up, self.down = _powers(len(buf) + 1)
-        self.sums = np.zeros(len(buf) + 1, U64)
-        np.cumsum(_BYTE[buf] * self.up[: len(buf)], out=self.sums[1:])
-
-    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * self.down[starts])
+        padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+        self.eights = np.ndarray(len(buf) + 1, "<u8", padded, strides=(1,))
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+        size = ends - starts
+        count = (size + 7) >> 3
+        first = np.concatenate([[0], np.cumsum(count)])
+        at = np.repeat(starts - 8 * first[:-1], count) + 8 * np.arange(first[-1])
+        x = self.eights[at] & _KEEP[np.minimum(np.repeat(ends, count) - at, 8)]
+        return mix(sequences(x, first, salt) ^ size.astype(U64))
 
 
 def row_of(first: np.ndarray) -> np.ndarray:

@@ -1,6 +1,6 @@
 """Line dedup over overlapping three-line windows.
 
-Lines with a word are numbered within their text. Every run of three consecutive ones is a window, known by its hash. The
+Lines with a word are numbered within their text. Every run of three consecutive ones is a window, known by two independent 64-bit hashes. The
 first occurrence of a window over the whole table, by document id, hash of the text and position, stays; the lines that any later
 occurrence covers go, overlapping windows merging into one stretch. Lines without a word are never counted or removed.
 
@@ -35,7 +35,8 @@ def _solid_lines(s: A.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 
 def windows(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """(h, none, id, doc, pos): one row per window; ``none`` marks null ids, ``doc`` is the hash of the whole text."""
+    """(h, h2, none, id, doc, pos): one row per window, known by two hashes; ``none`` marks null ids, ``doc`` is the hash of the
+    whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -44,15 +45,16 @@ def windows(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
                 starts, ends, row = starts[full], ends[full], row[full]
                 if len(row) < RUN:
                     continue
-                h = A.windows(A.SpanHash(s.buf)(starts, ends), RUN)
+                of = A.SpanHash(s.buf)
+                h, h2 = (A.windows(of(starts, ends, k), RUN) for k in range(2))
                 at = np.flatnonzero(row[: len(row) - RUN + 1] == row[RUN - 1 :])
                 first = np.searchsorted(row, np.arange(s.rows))
                 ids, docs_of = (batch.column(c).take(pa.array(row[at] + s.lo)) for c in (0, 2))
-                yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), ids, docs_of, pa.array((at - first[row[at]]).astype(np.int32))], names=["h", "id", "doc", "pos"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[at].view(np.int64)) for x in (h, h2)), ids, docs_of, pa.array((at - first[row[at]]).astype(np.int32))], names=["h", "h2", "id", "doc", "pos"])
 
     ids = docs.select(F.col(f"`{id_column}`").alias("id"), F.col("text").alias("__text"), F.xxhash64("text").alias("__doc"))
-    made = ids.mapInArrow(run, f"h bigint, id {ids.schema[0].dataType.simpleString()}, doc bigint, pos int")
-    return made.select("h", F.col("id").isNull().alias("none"), "id", "doc", "pos")
+    made = ids.mapInArrow(run, f"h bigint, h2 bigint, id {ids.schema[0].dataType.simpleString()}, doc bigint, pos int")
+    return made.select("h", "h2", F.col("id").isNull().alias("none"), "id", "doc", "pos")
 
 
 def repeated(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
@@ -60,8 +62,8 @@ def repeated(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     found = windows(docs, id_column)
     place = F.struct("none", "id", "doc", "pos")
     # written down, so that both sides of the join are dealt anew and a window that very many texts share can be split
-    first = cut_lineage(found.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"))
-    later = found.join(first, "h").filter(~place.eqNullSafe(F.col("first")))
+    first = cut_lineage(found.groupBy("h", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"))
+    later = found.join(first, ["h", "h2"]).filter(~place.eqNullSafe(F.col("first")))
     return later.groupBy("none", "id", "doc").agg(F.collect_set("pos").alias("starts"))
 
 
