@@ -53,7 +53,7 @@ RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", least=16, base=True),
     Rule("hex", r"[0-9a-f]+", least=32, base=True),
     Rule("key_block", _KEY),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("web_token", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}"),
     Rule("bearer", r"authorization: bearer [a-z0-9._~+/-]{16,}", True),
     Rule("login_url", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:[^\s/@]{4,128}@[a-z0-9]", True),
 )

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -10,7 +11,7 @@ import pytest
 from tokenizers import Tokenizer as Library
 
 from chartloom.llm import arrays as A
-from chartloom.llm import bpe, rules, secret_scan
+from chartloom.llm import bpe, labelled, rules, secret_scan
 
 SF = "/root/testdata/sf0.001"
 NASTY = [
@@ -174,3 +175,20 @@ def test_whole_private_keys_are_blanked(spark):
     got = {r.doc_id: r.text for r in secret_scan.redact(docs).collect()}
     for i, (text, want) in enumerate(texts.items()):
         assert got[i] == want, text[:60]
+
+
+def test_web_tokens_take_time_in_proportion_to_the_text():
+    (rule,) = [r for r in secret_scan.RULES if r.kind == "web_token"]
+    began = time.perf_counter()
+    assert not rule.regex.search(b"eyJ" * 700_000 + b" .eyj")
+    assert len(rule.regex.findall(b"eyJabcdefgh." * 60_000)) == 20_000
+    assert time.perf_counter() - began < 5
+    assert rule.regex.findall(b'"eyJabcdefghi.eyJabcdefghi.abcdefgh"') == [b"eyJabcdefghi.eyJabcdefghi.abcdefgh"]
+
+
+def test_repeated_ids_keep_the_sample_bounded(spark):
+    docs = spark.createDataFrame([(1, f"text {i:05}") for i in range(3000)] + [(2, "two"), (3, "three"), (None, "none"), (4, None)], "doc_id bigint, text string")
+    taught = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 0), (3, 1), (4, 0), (5, 1), (None, 1), (6, None)], "doc_id bigint, toxic int")
+    sample = labelled.labelled_sample(docs, taught, "toxic", 100)
+    assert sample.rdd.getNumPartitions() == 1
+    assert sorted((r.text or "", r.label) for r in sample.collect()) == [("", 0), ("text 00000", 1), ("two", 0)]
