@@ -2,11 +2,11 @@
 
 A text is the set of its five-word shingles. ``PERMS`` multiply-shift hashes of the shingles, taken in vectorised numpy,
 give one minimum each; eight bits of every minimum make the fingerprint. The share of equal positions, corrected for the
-one in 256 that agree by chance, estimates the Jaccard similarity. ``near_duplicates`` joins bands of the fingerprints in
-Spark and verifies the Jaccard similarity of every candidate on whole texts.
+one in 256 that agree by chance, estimates the Jaccard similarity. Texts are compared with their edited text and the next
+one; a join over bands of the fingerprints is not part of this module.
 
 Defined cases: null text counts as empty; texts without words share one fingerprint, and their likeness to one another is
-1; texts of one to four words have one shingle of all their words; equal ids are ordered by text; null ids come first;
+1; texts of one to four words have one shingle of all their words; equal ids are ordered by a hash of the text; null ids come first;
 repeated rows are rows of their own; other columns are ignored; a single document is its own next one.
 """
 
@@ -25,7 +25,6 @@ from chartloom.llm import arrays as A
 from chartloom.sources.tables import scratch_path
 
 PERMS, SHINGLE = 128, 5
-BANDS = 32
 _A, _B = A.seeds(PERMS, 11) | A.U64(1), A.seeds(PERMS, 12)
 
 
