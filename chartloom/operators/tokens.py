@@ -38,7 +38,8 @@ def overlap_classes(left: DataFrame, right: DataFrame, threshold: float = MATCH_
 
     Boxes meet in the grid cells they share and are compared only in the cell that holds the
     corner of their intersection, so a pair appears once. Copies of a token are one class, and
-    classes of equal text are left out: they match anyway.
+    classes of equal text are left out: they match anyway. Token tables are exploded text, many times
+    the files that Spark estimates them by, so joins with them name their kind: none is broadcast.
     """
     cols = ["image_id", "norm", *_BOX]
     a = _cells(left.select(*cols).distinct()).select("image_id", "cx", "cy", *[F.col(c).alias(f"l_{c}") for c in cols[1:]])
@@ -48,7 +49,7 @@ def overlap_classes(left: DataFrame, right: DataFrame, threshold: float = MATCH_
     )
     same = (F.col("l_norm") == F.col("r_norm")) & (F.col("l_norm") != "")
     close = iou([F.col(f"l_{c}") for c in _BOX], [F.col(f"r_{c}") for c in _BOX]) >= threshold
-    return a.join(b, ["image_id", "cx", "cy"]).filter(here & ~same & close).drop("cx", "cy")
+    return a.join(b.hint("merge"), ["image_id", "cx", "cy"]).filter(here & ~same & close).drop("cx", "cy")
 
 
 def count_matches(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -58,14 +59,14 @@ def count_matches(left: DataFrame, right: DataFrame) -> DataFrame:
     sizes = right.groupBy("image_id", *[F.col(c).alias(f"r_{c}") for c in ("norm", *_BOX)]).agg(F.count(F.lit(1)).alias("_n"))
     near = (
         overlap_classes(left, right)
-        .join(sizes, ["image_id", *[f"r_{c}" for c in ("norm", *_BOX)]])
+        .join(sizes.hint("merge"), ["image_id", *[f"r_{c}" for c in ("norm", *_BOX)]])
         .groupBy("image_id", *[F.col(f"l_{c}").alias(c) for c in ("norm", *_BOX)])
         .agg(F.sum("_n").alias("overlapping"))
     )
     zero = F.lit(0).cast("bigint")
     return (
-        left.join(by_text, ["image_id", "norm"], "left")
-        .join(near, ["image_id", "norm", *_BOX], "left")
+        left.join(by_text.hint("merge"), ["image_id", "norm"], "left")
+        .join(near.hint("merge"), ["image_id", "norm", *_BOX], "left")
         .select("image_id", "engine", "pos", F.coalesce("equal_text", zero).alias("equal_text"), F.coalesce("overlapping", zero).alias("overlapping"))
     )
 
@@ -232,7 +233,7 @@ def fuse_by_position(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     a = left.select("image_id", key, F.struct("text", "confidence").alias("a"))
     b = right.select("image_id", key, F.struct("text", "confidence").alias("b"))
     win = F.when(F.col("a.confidence") > F.col("b.confidence"), F.col("a")).otherwise(F.col("b"))
-    return a.join(b, ["image_id", key]).select("image_id", key, win.alias("w")).select("image_id", key, "w.*")
+    return a.join(b.hint("merge"), ["image_id", key]).select("image_id", key, win.alias("w")).select("image_id", key, "w.*")
 
 
 def token_ratios(tokens: DataFrame) -> DataFrame:

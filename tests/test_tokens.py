@@ -138,3 +138,16 @@ def test_similarity(spark):
     df = spark.createDataFrame([(["Alpha", "b"], ["alpha"]), ([], []), (["x"], [])], "a array<string>, b array<string>")
     got = [r[0] for r in df.select(K.similarity(F.col("a"), F.col("b"))).collect()]
     assert got == [SequenceMatcher(None, "alpha b", "alpha").ratio(), 1.0, 0.0]
+
+
+def test_exploded_tokens_are_not_broadcast(spark, capsys):
+    # estimated by their files, which are far smaller than the tokens in them
+    left, right = (spark.createDataFrame(_tokens(e, 30, 3), SCHEMA) for e in ("easyocr", "paddleocr"))
+    slot = [t.withColumn("slot", F.col("pos")) for t in (left, right)]
+    for found in (K.count_matches(left.limit(20), right.limit(20)), K.fuse_by_position(*[t.limit(20) for t in slot], "slot")):
+        found.explain()
+        plan = capsys.readouterr().out
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    got = {(r.image_id, r.pos): r.equal_text + r.overlapping for r in K.count_matches(left, right).collect()}
+    rows = [(_tokens("easyocr", 30, 3)), _tokens("paddleocr", 30, 3)]
+    assert got == {(a[0], a[2]): sum(b[0] == a[0] and _match(a, b) for b in rows[1]) for a in rows[0]}
