@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chartloom.functions import labels as L
@@ -14,24 +15,33 @@ IMAGE_EXTENSIONS = (".png", ".jpg", ".jpeg", ".bmp", ".webp")
 
 
 def scan_files(
-    spark: SparkSession, root: str, extensions: Sequence[str] | None = IMAGE_EXTENSIONS, recursive: bool = False
+    spark: SparkSession, root: str, extensions: Sequence[str] | None = IMAGE_EXTENSIONS, recursive: bool = False, in_parts: bool = False
 ) -> DataFrame:
     """path, name, file_size, mtime of files with one of the extensions (any case).
 
-    The content column is not selected, so file bodies are never read.
+    The content column is not selected, so file bodies are never read. With ``in_parts`` a folder whose name has one of the
+    extensions is one file written in parts, as Spark writes tables: the sizes of its parts are added up and the latest time
+    counts.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive or in_parts).lower())
     # without recursive lookup only the direct children of the folder are listed
-    out = reader.load(root).select(
-        "path",
-        L.base_name(F.col("path")).alias("name"),
-        F.col("length").alias("file_size"),
-        F.col("modificationTime").alias("mtime"),
-    )
-    if extensions is None:
-        return out
-    wanted = "|".join(e.lstrip(".").lower() for e in extensions)
-    return out.filter(F.lower("name").rlike(rf"\.({wanted})$"))
+    out = reader.load(root).select("path", F.col("length").alias("file_size"), F.col("modificationTime").alias("mtime"))
+    wanted = None if extensions is None else "|".join(re.escape(e.lstrip(".").lower()) for e in extensions)
+    if in_parts and wanted:
+        whole = F.regexp_extract(_below(root), rf"^(?i)(?:.*?/)??[^/]+?\.(?:{wanted})(?=/|$)", 0)
+        below = F.when(whole == "", _below(root)).otherwise(whole)
+        out = out.withColumn("_inside", F.length(_below(root)) - F.length(below))
+        out = out.withColumn("path", F.expr("substring(path, 1, length(path) - _inside)")).filter(F.lit(recursive) | ~below.contains("/"))
+        out = out.groupBy("path").agg(F.sum("file_size").alias("file_size"), F.max("mtime").alias("mtime"))
+    out = out.select("path", L.base_name(F.col("path")).alias("name"), "file_size", "mtime")
+    return out if wanted is None else out.filter(F.lower("name").rlike(rf"\.({wanted})$"))
+
+
+def _below(root: str) -> Column:
+    """The part of ``path`` below the folder ``root``, whose scheme and slashes may be written otherwise."""
+    folder = "/".join(re.escape(p) for p in re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", root).split("/") if p not in ("", "."))
+    start = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?)?" + ("/*" if root.startswith("/") or ":" in root else ".*?/")
+    return F.regexp_replace("path", start + (folder + "/+" if folder else ""), "")
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:

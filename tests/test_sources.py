@@ -128,3 +128,20 @@ def test_round_trips(spark, tmp_path):
     tables.append_provenance(snap, str(tmp_path / "p"))
     tables.append_provenance(snap, str(tmp_path / "p"))
     assert spark.read.json(str(tmp_path / "p")).count() == 2
+
+
+@pytest.mark.parametrize("scheme", ["", "file:", "file://"])
+def test_a_table_written_in_parts_is_one_file(spark, tmp_path, scheme):
+    root = tmp_path / "in.parquet" / "sf0.1"  # the extension above the root does not count
+    (root / "deep").mkdir(parents=True)
+    (root / "one.parquet").write_bytes(b"12345")
+    (root / "notes.txt").write_text("x")
+    spark.range(9).repartition(3).write.parquet(str(root / "many.PARQUET"))
+    spark.range(4).repartition(2).write.parquet(str(root / "deep" / "below.parquet"))
+    scan = lambda **how: {r["name"]: r for r in files.scan_files(spark, f"{scheme}{root}/", (".parquet",), in_parts=True, **how).collect()}
+    flat, deep = scan(), scan(recursive=True)
+    assert set(flat) == {"one.parquet", "many.PARQUET"} and set(deep) == {*flat, "below.parquet"}
+    parts = list((root / "many.PARQUET").glob("part-*"))
+    assert flat["many.PARQUET"]["file_size"] == sum(p.stat().st_size for p in parts) and len(parts) == 3
+    assert flat["many.PARQUET"]["path"].endswith("/in.parquet/sf0.1/many.PARQUET")
+    assert flat["one.parquet"]["file_size"] == 5
