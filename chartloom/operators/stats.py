@@ -7,6 +7,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# P(Poisson(1) <= k) for k = 0, 1, ... in units of 2^-16, as hex digits: four digits of a hash
+# are compared as text, which orders them like numbers and needs no parsing
+_POISSON_CUTS = [
+    f"{int(65536 * math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1))):04x}" for k in range(9)
+]
+_WORDS_PER_HASH = 8  # an md5 holds eight 16-bit draws
+
 _EXACT_COUNTS = 100  # below, Poisson draws invert the distribution function; from here on they use its normal expansion
 
 
@@ -47,6 +54,43 @@ def bootstrap_metric(df: DataFrame, numerator: Column, denominator: Column, resa
     return times.groupBy("b").agg(F.coalesce(F.try_divide(F.sum(F.col("_t") * F.col("_x")), F.sum(F.col("_t") * F.col("_y"))), F.lit(0.0)).alias("value"))
 
 
+def bootstrap_rows(df: DataFrame, key: str, numerator: Column, denominator: Column, resamples: int = 1000, seed: int = 42) -> DataFrame:
+    """Ratio-of-sums metric on ``resamples`` bootstrap samples, drawn row by row: columns b, value.
+
+    Every row enters sample b Poisson(1) times, drawn from a hash of (key, seed, b): the distributed form of drawing n rows
+    with replacement. Samples are summed map-side, so the shuffle carries ``resamples`` rows per task whatever the table size.
+    """
+    hashes = math.ceil(resamples / _WORDS_PER_HASH)
+    rows = df.select(
+        F.col(key).cast("string").alias("_k"), numerator.cast("double").alias("_x"), denominator.cast("double").alias("_y")
+    )
+    # a row costs as many hashes as there are samples by eight, so even a table of one file is dealt to many tasks
+    rows = rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_k")
+    digests = rows.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(hashes - 1)))).select(
+        "_i", "_x", "_y", F.md5(F.concat(F.col("_k"), F.lit(f"-{seed}-"), F.col("_i").cast("string"))).alias("_d")
+    )
+    draws = digests.select("_i", "_x", "_y", *[F.substring("_d", 4 * w + 1, 4).alias(f"d{w}") for w in range(_WORDS_PER_HASH)])
+    times = {}
+    for w in range(_WORDS_PER_HASH):
+        drawn = F
+        for k, cut in enumerate(_POISSON_CUTS):
+            drawn = drawn.when(F.col(f"d{w}") < cut, F.lit(k))
+        times[f"t{w}"] = drawn.otherwise(F.lit(len(_POISSON_CUTS)))
+    counted = draws.select("_i", "_x", "_y", *[c.alias(n) for n, c in times.items()])
+    sums = []
+    for w in range(_WORDS_PER_HASH):
+        sums += [F.sum(F.col(f"t{w}") * F.col("_x")).alias(f"x{w}"), F.sum(F.col(f"t{w}") * F.col("_y")).alias(f"y{w}")]
+    wide = counted.groupBy("_i").agg(*sums)
+    samples = wide.select(
+        "_i",
+        F.posexplode(F.array(*[F.struct(F.col(f"x{w}").alias("x"), F.col(f"y{w}").alias("y")) for w in range(_WORDS_PER_HASH)])).alias("w", "s"),
+    )
+    return samples.select(
+        (F.col("_i") * _WORDS_PER_HASH + F.col("w")).cast("int").alias("b"),
+        F.coalesce(F.try_divide(F.col("s.x"), F.col("s.y")), F.lit(0.0)).alias("value"),
+    ).filter(F.col("b") < resamples)
+
+
 def bootstrap_interval(samples: DataFrame, level: float = 0.95) -> DataFrame:
     """Percentile interval of bootstrap values (one row per resample, a few thousand at most)."""
     tail = (1 - level) / 2

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -11,6 +12,7 @@ from chartloom.operators import rules as RU
 from chartloom.operators import sampling as S
 from chartloom.operators import stats as ST
 from chartloom.operators import voting as V
+from chartloom.plans.registry import all_queries
 
 
 def _labelled(spark, sizes):
@@ -115,6 +117,18 @@ def test_bootstrap_by_values_agrees_with_rows(spark):
     assert ST.bootstrap_metric(df.limit(0), F.col("x"), F.col("y")).count() == 0
 
 
+def test_bootstrap_draws_every_row(spark):
+    rows = [(i, float(i % 3 == 0)) for i in range(200)]
+    got = {r.b: r.value for r in ST.bootstrap_rows(spark.createDataFrame(rows, "id bigint, x double"), "id", F.col("x"), F.lit(1), 20).collect()}
+    cuts = [int(c, 16) for c in ST._POISSON_CUTS]
+    times = lambda i, b: sum(int(hashlib.md5(f"{i}-42-{b // 8}".encode()).hexdigest()[b % 8 * 4 :][:4], 16) >= c for c in cuts)
+    assert set(got) == set(range(20))
+    for b in got:
+        drawn = [(times(i, b), x) for i, x in rows]
+        assert got[b] == pytest.approx(sum(t * x for t, x in drawn) / sum(t for t, _ in drawn))
+    assert "md5(id ||" in all_queries()["bootstrap_accuracy"].sql  # drawn for each row in SQL too
+
+
 def _votes(spark, *rows):
     cols = [f"{v}_{k}" for v in V.VOTERS for k in ("prediction", "confidence")]
     schema = ", ".join(f"{c} {'string' if c.endswith('prediction') else 'double'}" for c in cols)
