@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chartloom.operators import ordering as O
+from chartloom.session import cut_lineage
 
 
 def _skewed(spark, n=600):
@@ -73,3 +75,14 @@ def test_quantiles_of_many_rows(spark, value):
     rows = np.sort(df.toPandas()["v"].to_numpy())
     assert got == pytest.approx({q: np.percentile(rows, q * 100) for q in got}, rel=1e-12)
     assert O.exact_quantiles(df.limit(0), [], "v", [0.5]).count() == 0
+
+
+def test_shuffle_files_go_with_the_lineage(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    before = disk.getAllFiles().size()
+    out = cut_lineage(spark.range(1000).groupBy((F.col("id") % 7).alias("g")).count())
+    until = time.time() + 20
+    while disk.getAllFiles().size() > before and time.time() < until:  # removed in the background
+        time.sleep(0.1)
+    assert disk.getAllFiles().size() <= before
+    assert out.agg(F.sum("count")).first()[0] == 1000
