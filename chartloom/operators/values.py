@@ -6,15 +6,28 @@ share of the rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartloom.functions.text import safe_double
 from chartloom.operators.ordering import rank_in_group
+from chartloom.session import cut_lineage
 
 SAMPLES = 20  # x positions at which a line is read
 
 
+def _bar_value(height: Column, span: Column) -> Column:
+    return F.round(height / F.when(span > 0, span).otherwise(1) * 100.0, 1)
+
+
+def _slice_angle(area: Column) -> Column:
+    return F.round(area / F.col("_total") * 360, 1)
+
+
+def _sized_slice(width: int, height: int) -> Column:
+    return (F.col("area") > width * height * 0.01) & (F.col("area") < width * height * 0.8)
+
+
 def bar_values(bars: DataFrame, axes: DataFrame) -> DataFrame:
     """Add value = h / (baseline - top) * 100, one decimal.
 
@@ -25,8 +38,7 @@ def bar_values(bars: DataFrame, axes: DataFrame) -> DataFrame:
     lowest = flat.groupBy("image_id").agg(F.max(F.greatest("y", "y2")).alias("_axis"))
     ends = bars.groupBy("image_id").agg(F.min("y").alias("_top"), F.max(F.col("y") + F.col("h")).alias("_end"))
     spans = ends.join(lowest, "image_id", "left").select("image_id", (F.coalesce("_axis", "_end") - F.col("_top")).alias("_span"))
-    span = F.when(F.col("_span") > 0, F.col("_span")).otherwise(1)
-    return bars.join(spans, "image_id").withColumn("value", F.round(F.col("h") / span * 100.0, 1)).drop("_span")
+    return bars.join(spans, "image_id").withColumn("value", _bar_value(F.col("h"), F.col("_span"))).drop("_span")
 
 
 def ordered_bar_values(bars: DataFrame, axes: DataFrame) -> DataFrame:
@@ -70,45 +82,51 @@ def point_values(points: DataFrame, width: int, height: int) -> DataFrame:
 
 def slice_values(slices: DataFrame, width: int, height: int) -> DataFrame:
     """Angle and percentage of every slice with 1% to 80% of the canvas."""
-    canvas = width * height
-    kept = slices.filter((F.col("area") > canvas * 0.01) & (F.col("area") < canvas * 0.8))
+    kept = slices.filter(_sized_slice(width, height))
     totals = kept.groupBy("image_id").agg(F.sum("area").alias("_total"))
     share = F.col("area") / F.col("_total")
     return kept.join(totals, "image_id").withColumns(
-        {"angle": F.round(share * 360, 1), "percentage": F.round(share * 100, 1)}
+        {"angle": _slice_angle(F.col("area")), "percentage": F.round(share * 100, 1)}
     ).drop("_total")
 
 
 def extract_values(elements: DataFrame, types: DataFrame, width: int, height: int) -> DataFrame:
-    """Values (image_id, chart_type, seq, value) by the extraction of each image's chart type."""
-    typed = elements.join(types, "image_id")
-    of = lambda *names: typed.filter(F.col("chart_type").isin(*names))
+    """Values (image_id, chart_type, seq, value) by the extraction of each image's chart type.
+
+    A shape travels as one number, and what bars and slices need of their whole image is one aggregate that meets the types
+    first. A branch for each chart type would join and sort all columns again, and a task would hold the rows of all branches.
+    """
     kind = F.col("kind")
-    cols = ["image_id", "chart_type", "seq"]
-    bars = of("bar_chart", "histogram")
-    parts = [
-        bar_values(bars.filter(kind == "bar"), bars.filter(kind == "axis")).select(*cols, "value"),
-        line_values(of("line_chart"), width, height).select(
-            "image_id", F.lit("line_chart").alias("chart_type"), F.col("x_pixel").cast("bigint").alias("seq"), "value"
-        ),
-        point_values(of("scatter_plot").filter(kind == "point"), width, height).select(
-            *cols,
-            F.sqrt(F.col("x_normalized") * F.col("x_normalized") + F.col("y_normalized") * F.col("y_normalized")).alias("value"),
-        ),
-        slice_values(of("pie_chart").filter(kind == "pie_slice"), width, height).select(*cols, F.col("angle").alias("value")),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    bar, piece = kind == "bar", (kind == "pie_slice") & _sized_slice(width, height)
+    flat = (kind == "axis") & (F.abs(F.col("y") - F.col("y2")) < 20)
+    wholes = elements.filter(flat | bar | piece).groupBy("image_id").agg(
+        F.max(F.when(flat, F.greatest("y", "y2"))).alias("_axis"), F.min(F.when(bar, F.col("y"))).alias("_top"),
+        F.max(F.when(bar, F.col("y") + F.col("h"))).alias("_end"), F.sum(F.when(piece, F.col("area"))).alias("_total"),
+    )
+    across, up = F.col("x_normalized"), F.col("y_normalized")
+    sized = F.when(bar, F.col("h").cast("double")).when(kind == "point", F.sqrt(across * across + up * up)).otherwise(F.col("area"))
+    use = F.when(bar, 0).when(kind == "point", 1).otherwise(2)
+    shapes = point_values(elements.filter(bar | piece | (kind == "point")), width, height).select("image_id", "seq", use.alias("_use"), sized.alias("_v"))
+    wanted = F.when(F.col("chart_type").isin("bar_chart", "histogram"), 0).when(F.col("chart_type") == "scatter_plot", 1).when(F.col("chart_type") == "pie_chart", 2)
+    images = types.withColumn("_use", wanted).filter("_use is not null").join(wholes, "image_id", "left")
+    value = (
+        F.when(F.col("_use") == 0, _bar_value(F.col("_v"), F.coalesce("_axis", "_end") - F.col("_top")))
+        .when(F.col("_use") == 1, F.col("_v")).otherwise(_slice_angle(F.col("_v")))
+    )
+    lined = elements.join(types.filter(F.col("chart_type") == "line_chart").select("image_id"), "image_id")
+    lines = line_values(lined, width, height).select(
+        "image_id", F.lit("line_chart").alias("chart_type"), F.col("x_pixel").cast("bigint").alias("seq"), "value"
+    )
+    return shapes.join(images, ["image_id", "_use"]).select("image_id", "chart_type", "seq", value.alias("value")).unionByName(lines)
 
 
 def normalize_values(values: DataFrame) -> DataFrame:
     """Add normalized per image and chart type.
 
     Line values are divided by 100, angles by 360, scatter norms by their maximum; others are
-    min-max scaled, constants giving 1 if positive, else 0.
+    min-max scaled, constants giving 1 if positive, else 0. The values are read twice and made once.
     """
+    values = cut_lineage(values)
     span = values.groupBy("image_id").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
     v, lo, hi, kind = F.col("value"), F.col("_lo"), F.col("_hi"), F.col("chart_type")
     flat = F.when(hi > 0, 1.0).otherwise(0.0)

@@ -110,3 +110,22 @@ def test_clusters_of_one_image_over_many_ranges(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert C.count_clusters(chain.limit(0), 4.0).count() == 0
+
+
+def test_values_of_all_chart_types_travel_together(spark):
+    """No branch for each chart type that joins and sorts the shapes anew."""
+    rows = [
+        (1, 1, "bar", 10, 50, 5, 40, 10, 50, 200.0), (1, 2, "bar", 20, 70, 5, 20, 20, 70, 100.0), (1, 3, "axis", 0, 100, 9, 9, 90, 102, 81.0),
+        (2, 4, "bar", 10, 30, 5, 10, 10, 30, 50.0), (3, 5, "point", 64, 48, 5, 5, 64, 48, 25.0),
+        (4, 6, "pie_slice", 9, 9, 99, 99, 9, 9, 4000.0), (4, 7, "pie_slice", 9, 9, 99, 99, 9, 9, 12000.0), (4, 8, "pie_slice", 9, 9, 9, 9, 9, 9, 81.0),
+        (5, 9, "rect", 96, 240, 5, 5, 96, 240, 25.0), (4, 10, "bar", 10, 30, 5, 10, 10, 30, 50.0),
+    ]
+    elements = spark.createDataFrame(rows, "image_id bigint, seq bigint, kind string, x int, y int, w int, h int, x2 int, y2 int, area double")
+    kinds = [(1, "bar_chart"), (2, "histogram"), (3, "scatter_plot"), (4, "pie_chart"), (5, "line_chart"), (6, "unknown")]
+    out = V.extract_values(elements, spark.createDataFrame(kinds, "image_id bigint, chart_type string"), 640, 480)
+    got = {(r.image_id, r.chart_type, r.seq): round(r.value, 4) for r in out.collect()}
+    assert got == {
+        (1, "bar_chart", 1): 76.9, (1, "bar_chart", 2): 38.5, (2, "histogram", 4): 100.0, (3, "scatter_plot", 5): 90.5539,
+        (4, "pie_chart", 6): 90.0, (4, "pie_chart", 7): 270.0, (5, "line_chart", 96): 50.0,
+    }
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 3
