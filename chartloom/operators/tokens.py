@@ -276,19 +276,13 @@ def best_engine(one: Column, other: Column, names: tuple[str, str] = ("easyocr",
 
 
 def _ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    def one(a, b):
-        if len(a) == 0 and len(b) == 0:
-            return 1.0
-        if len(a) == 0 or len(b) == 0:
-            return 0.0
-        return SequenceMatcher(None, " ".join(a).lower(), " ".join(b).lower()).ratio()
-
-    return pd.Series([one(a, b) for a, b in zip(left, right)], dtype="float64")
+    return pd.Series([SequenceMatcher(None, a.lower(), b.lower()).ratio() for a, b in zip(left, right)], dtype="float64")
 
 
 def similarity(left: Column, right: Column) -> Column:
-    """Ratcliff-Obershelp ratio of two text lists, joined and lower-cased."""
-    return F.pandas_udf(_ratio, "double")(left, right)
+    """Ratcliff-Obershelp ratio of two text lists, joined and lower-cased. They are joined before they reach Python, where
+    every word would be an object."""
+    return F.pandas_udf(_ratio, "double")(F.array_join(left, " "), F.array_join(right, " "))
 
 
 def engine_scores(pairs: DataFrame) -> DataFrame:

@@ -151,3 +151,10 @@ def test_exploded_tokens_are_not_broadcast(spark, capsys):
     got = {(r.image_id, r.pos): r.equal_text + r.overlapping for r in K.count_matches(left, right).collect()}
     rows = [(_tokens("easyocr", 30, 3)), _tokens("paddleocr", 30, 3)]
     assert got == {(a[0], a[2]): sum(b[0] == a[0] and _match(a, b) for b in rows[1]) for a in rows[0]}
+
+
+def test_similarity_sends_no_word_lists_to_python(spark):
+    df = spark.createDataFrame([([], []), (["Ab", "c"], ["ab", "C"]), ([], ["x"])], "a array<string>, b array<string>")
+    out = df.select(K.similarity(F.col("a"), F.col("b")).alias("s"))
+    assert [r.s for r in out.collect()] == [1.0, 1.0, 0.0]
+    assert "array_join" in out._jdf.queryExecution().optimizedPlan().toString()
