@@ -334,23 +334,18 @@ def outside_axes(boxes: DataFrame, axes: DataFrame) -> DataFrame:
     return joined.filter(~covered("horizontal") & ~covered("vertical")).drop("horizontal", "vertical")
 
 
-def _ring(df: DataFrame, side: int, reach: int) -> DataFrame:
-    """One row per cell within ``reach`` cells of a point's own cell."""
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)])
-    return (
-        df.withColumn("_d", F.explode(around))
-        .withColumn("cx", F.floor(F.col("x") / side) + F.col("_d.i"))
-        .withColumn("cy", F.floor(F.col("y") / side) + F.col("_d.j"))
-        .drop("_d")
-    )
+def _reaching(df: DataFrame, radius: float, side: float) -> DataFrame:
+    """One row per cell that comes within ``radius`` of a point in both directions: four if a cell is twice that wide."""
+    cells = lambda c: F.explode(F.sequence(F.floor((F.col(c) - radius) / side), F.floor((F.col(c) + radius) / side)))
+    return df.withColumn("cx", cells("x")).withColumn("cy", cells("y"))
 
 
 def nearest_distances(points: DataFrame, start: int = 8, growth: int = 8) -> DataFrame:
     """Distinct points (image_id, x, y, n copies) with the exact distance of the nearest other point.
 
-    Copies have distance 0. The others look into the 3 x 3 cells around them; a neighbour within
-    one cell side is certainly the nearest. Points without one try again with larger cells. Such
-    points lie apart from everything by the previous side, so few of them share a cell and each
+    Copies have distance 0. The others look into the four cells, of twice the current reach, that they
+    come near; a neighbour within that reach is certainly the nearest. Points without one try again with
+    larger cells. Such points lie apart from everything by the previous side, so few of them share a cell and each
     round stays linear in the number of points. The only point of an image has no row.
     """
     merged = cut_lineage(points.groupBy("image_id", "x", "y").agg(F.count(F.lit(1)).alias("n")))
@@ -361,11 +356,11 @@ def nearest_distances(points: DataFrame, start: int = 8, growth: int = 8) -> Dat
     side = start
     while not todo.isEmpty():
         cells = merged.select(
-            "image_id", F.floor(F.col("x") / side).alias("cx"), F.floor(F.col("y") / side).alias("cy"), F.col("x").alias("ox"), F.col("y").alias("oy")
+            "image_id", F.floor(F.col("x") / (2 * side)).alias("cx"), F.floor(F.col("y") / (2 * side)).alias("cy"), F.col("x").alias("ox"), F.col("y").alias("oy")
         )
         dx, dy = (F.col("x") - F.col("ox")).cast("bigint"), (F.col("y") - F.col("oy")).cast("bigint")
         d2 = dx * dx + dy * dy
-        near = _ring(todo, side, 1).join(cells, ["image_id", "cx", "cy"]).filter(d2 > 0)
+        near = _reaching(todo, side, 2 * side).join(cells, ["image_id", "cx", "cy"]).filter(d2 > 0)
         found = near.groupBy("image_id", "x", "y").agg(F.min(d2).alias("d2"))
         sure = cut_lineage(todo.join(found, ["image_id", "x", "y"], "left").select("image_id", "x", "y", "n", "d2"))
         within = F.coalesce(F.col("d2") <= side * side, F.lit(False))
@@ -389,10 +384,10 @@ def clustering_share(points: DataFrame, eps: float) -> DataFrame:
     """Per image with more than two points: share of points with at least two others closer than ``eps``.
 
     In cells of diagonal below eps all points of a cell are neighbours, so cells with three or
-    more are settled by counting. Only points of emptier cells are compared, with the cells around.
+    more are settled by counting. Only points of emptier cells are compared, in the four wider cells they come near.
     """
     side = max(1, int(eps / 2**0.5 - 1e-9))
-    reach = int(-(-eps // side))
+    wide = 2 * eps
     merged = points.groupBy("image_id", "x", "y").agg(F.count(F.lit(1)).alias("n"))
     merged = merged.withColumn("cx", F.floor(F.col("x") / side)).withColumn("cy", F.floor(F.col("y") / side))
     cell = merged.groupBy("image_id", "cx", "cy").agg(F.sum("n").alias("cn"))
@@ -400,10 +395,11 @@ def clustering_share(points: DataFrame, eps: float) -> DataFrame:
     total = merged.groupBy("image_id").agg(F.sum("n").alias("points"))
     full = known.filter("cn >= 3").groupBy("image_id").agg(F.sum("n").alias("c"))
     sparse = known.filter("cn < 3").select("image_id", "x", "y", "n")
-    other = merged.select("image_id", "cx", "cy", F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("n").alias("on"))
+    cells = [F.floor(F.col(c) / wide).alias(f"c{c}") for c in ("x", "y")]
+    other = merged.select("image_id", *cells, F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("n").alias("on"))
     dx, dy = F.col("x") - F.col("ox"), F.col("y") - F.col("oy")
     near = (
-        _ring(sparse, side, reach).join(other, ["image_id", "cx", "cy"])
+        _reaching(sparse, eps, wide).join(other, ["image_id", "cx", "cy"])
         .filter(F.sqrt((dx * dx + dy * dy).cast("double")) < eps)
         .groupBy("image_id", "x", "y", "n").agg((F.sum("on") - 1).alias("near"))
     )

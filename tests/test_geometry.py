@@ -129,3 +129,12 @@ def test_values_of_all_chart_types_travel_together(spark):
         (4, "pie_chart", 6): 90.0, (4, "pie_chart", 7): 270.0, (5, "line_chart", 96): 50.0,
     }
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 3
+
+
+def test_points_travel_to_four_cells(spark):
+    points = spark.createDataFrame([(x, y) for x in range(-40, 41, 7) for y in range(-40, 41, 9)], "x int, y int")
+    for radius in (8, 90.0):
+        cells = G._reaching(points, radius, 2 * radius)
+        assert cells.count() == 4 * points.count()
+        missed = F.floor((F.col("x") + F.lit(radius)) / (2 * radius)) < F.floor((F.col("x") - F.lit(radius)) / (2 * radius)) + 1
+        assert cells.filter(missed).count() == 0
