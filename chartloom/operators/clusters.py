@@ -13,34 +13,37 @@ from pyspark.sql import functions as F
 from chartloom.session import cut_lineage
 
 
+_WIDE = 4  # cells
+
+
 def _linked_cells(points: DataFrame, eps: float, closed: bool, side: int) -> DataFrame:
     """Pairs of cells with points within eps of each other, each pair once.
 
     For two cells only the facing points matter: for one row the point furthest towards the
     other cell is the closest of its row, and so for columns. Whichever side the neighbour lies
     on, the points with extreme x per row or extreme y per column contain a closest pair.
+
+    Points meet in wide cells of ``_WIDE`` by ``_WIDE`` cells: one shuffle by wide cell serves all sums, and a point travels
+    to the up to four wide cells that hold its neighbours ahead, not to every cell among them.
     """
     reach = int(-(-eps // side))
-    p = points
-    rows = p.groupBy("image_id", "cx", "cy", "y").agg(F.min("x").alias("a"), F.max("x").alias("b"))
-    cols = p.groupBy("image_id", "cx", "cy", "x").agg(F.min("y").alias("a"), F.max("y").alias("b"))
-    by_row = rows.select("image_id", "cx", "cy", F.explode(F.array("a", "b")).alias("x"), "y")
-    by_col = cols.select("image_id", "cx", "cy", "x", F.explode(F.array("a", "b")).alias("y"))
+    wide = lambda c: F.floor(c / _WIDE).cast("bigint")
+    here = ["image_id", "wx", "wy", "cx", "cy"]
+    p = points.withColumn("wx", wide(F.col("cx"))).withColumn("wy", wide(F.col("cy"))).repartition("image_id", "wx", "wy")
+    rows = p.groupBy(*here, "y").agg(F.min("x").alias("a"), F.max("x").alias("b"))
+    cols = p.groupBy(*here, "x").agg(F.min("y").alias("a"), F.max("y").alias("b"))
+    by_row = rows.select(*here, F.explode(F.array("a", "b")).alias("x"), "y")
+    by_col = cols.select(*here, "x", F.explode(F.array("a", "b")).alias("y"))
     rim = by_row.unionByName(by_col).distinct()
-    half = F.array(
-        *[
-            F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))
-            for i in range(0, reach + 1) for j in range(-reach, reach + 1) if i > 0 or j > 0
-        ]
-    )
-    ahead = rim.withColumn("_d", F.explode(half)).select(
-        "image_id", F.col("cx").alias("ax"), F.col("cy").alias("ay"), F.col("x").alias("px"), F.col("y").alias("py"),
-        (F.col("cx") + F.col("_d.i")).alias("cx"), (F.col("cy") + F.col("_d.j")).alias("cy"),
-    )
+    spans = [F.explode(F.sequence(wide(F.col(f"a{c}") - back), wide(F.col(f"a{c}") + reach))).alias(f"w{c}") for c, back in (("x", 0), ("y", reach))]
+    ahead = rim.select("image_id", F.col("cx").alias("ax"), F.col("cy").alias("ay"), F.col("x").alias("px"), F.col("y").alias("py"))
+    ahead = ahead.select("*", spans[0]).select("*", spans[1])
     dx, dy = F.col("px") - F.col("x"), F.col("py") - F.col("y")
     dist = F.sqrt((dx * dx + dy * dy).cast("double"))
     close = dist <= eps if closed else dist < eps
-    return ahead.join(rim, ["image_id", "cx", "cy"]).filter(close).select("image_id", "ax", "ay", "cx", "cy").distinct()
+    i, j = F.col("cx") - F.col("ax"), F.col("cy") - F.col("ay")
+    half = (i >= 0) & (i <= reach) & (j >= -reach) & (j <= reach) & ((i > 0) | (j > 0))
+    return ahead.join(rim, ["image_id", "wx", "wy"]).filter(half & close).select("image_id", "ax", "ay", "cx", "cy").distinct()
 
 
 def smallest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -130,11 +133,9 @@ def cluster_points(points: DataFrame, eps: float, closed: bool = True) -> DataFr
     cells = merged.withColumn("cx", F.floor(F.col("x") / side)).withColumn("cy", F.floor(F.col("y") / side))
     node = lambda x, y: (F.col(x) * F.lit(1 << 31) + F.col(y)).alias
     links = _linked_cells(cells, eps, closed, side).select("image_id", node("ax", "ay")("u"), node("cx", "cy")("v"))
-    nodes = cells.select("image_id", node("cx", "cy")("u")).distinct()
-    labels = _components(nodes, links)
-    return cells.withColumn("u", F.col("cx") * F.lit(1 << 31) + F.col("cy")).join(labels, ["image_id", "u"]).select(
-        "image_id", "x", "y", "n", F.col("root").alias("cluster")
-    )
+    # every point looks its cell up by itself: no table of cells in between
+    named = cells.withColumn("u", node("cx", "cy")("u")).filter("image_id IS NOT NULL AND u IS NOT NULL")
+    return _components(named, links).select("image_id", "x", "y", "n", F.col("root").alias("cluster"))
 
 
 def count_clusters(points: DataFrame, eps: float) -> DataFrame:

@@ -138,3 +138,21 @@ def test_points_travel_to_four_cells(spark):
         assert cells.count() == 4 * points.count()
         missed = F.floor((F.col("x") + F.lit(radius)) / (2 * radius)) < F.floor((F.col("x") - F.lit(radius)) / (2 * radius)) + 1
         assert cells.filter(missed).count() == 0
+
+
+def test_neighbouring_cells_meet_in_wide_cells_after_few_shuffles(spark):
+    rnd = random.Random(8)
+    rows = [(i % 2, rnd.randrange(-40, 120), rnd.randrange(120), 1) for i in range(500)]
+    points = spark.createDataFrame(rows, "image_id int, x int, y int, n int")
+    eps, side = 9.0, 6
+    cells = points.withColumn("cx", F.floor(F.col("x") / side)).withColumn("cy", F.floor(F.col("y") / side))
+    links = C._linked_cells(cells, eps, True, side)
+    want = set()
+    for i, x, y, _ in rows:
+        for k, a, b, _ in rows:
+            u, v = (x // side, y // side), (a // side, b // side)
+            if i == k and u < v and (x - a) ** 2 + (y - b) ** 2 <= eps * eps:
+                want.add((i, *u, *v))
+    assert sorted(tuple(r) for r in links.collect()) == sorted(want)
+    # both sides by wide cell, the points that travel, the pairs; sums need none of their own
+    assert links._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") <= 6
