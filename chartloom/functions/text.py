@@ -37,16 +37,16 @@ def clean_one(text: Column) -> Column:
 
 def clean_text_list(texts: Column) -> Column:
     """Cleaned, non-empty texts; of texts equal but for case only the first stays."""
-    entries = F.transform(
-        texts, lambda t, i: F.struct(F.lower(clean_one(t)).alias("key"), i.alias("i"), clean_one(t).alias("text"))
-    )
-    ordered = F.array_sort(F.filter(entries, lambda e: e["key"] != ""))
+    # most texts are words that need no cleaning; lists are sorted by sort_array, as array_sort compares by an expression
+    cleaned = F.transform(texts, lambda t: F.when(t.rlike(r"[^\x21-\x7E]"), clean_one(t)).otherwise(t))
+    entries = F.transform(cleaned, lambda t, i: F.struct(F.lower(t).alias("key"), i.alias("i"), t.alias("text")))
+    ordered = F.sort_array(F.filter(entries, lambda e: e["key"] != ""))
     # wrapping the sorted list in an array binds it once instead of once per element
     first = F.transform(
         F.array(ordered),
         lambda lst: F.filter(lst, lambda e, j: (j == 0) | (e["key"] != F.get(lst, j - 1)["key"])),
     )[0]
-    by_place = F.array_sort(F.transform(first, lambda e: F.struct(e["i"].alias("i"), e["text"].alias("text"))))
+    by_place = F.sort_array(F.transform(first, lambda e: F.struct(e["i"].alias("i"), e["text"].alias("text"))))
     return F.transform(by_place, lambda e: e["text"])
 
 

@@ -158,3 +158,14 @@ def test_similarity_sends_no_word_lists_to_python(spark):
     out = df.select(K.similarity(F.col("a"), F.col("b")).alias("s"))
     assert [r.s for r in out.collect()] == [1.0, 1.0, 0.0]
     assert "array_join" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lists_are_cleaned_once_and_sorted_without_comparing_expressions(spark):
+    rows = [(1, ["Ab", None, "ab", "", " ", "é\nx", " x", "x ", "a\t b", "A B", "é", "ab"]), (2, None), (3, [])]
+    df = spark.createDataFrame(rows, "k int, l array<string>").select("k", T.clean_text_list(F.col("l")).alias("clean"))
+    assert {r["k"]: r["clean"] for r in df.collect()} == {1: ["Ab", " x", "x", "a b"], 2: None, 3: []}
+    assert "array_sort(" not in _plan(df) and _plan(df).count("lower(") == 1 and _plan(df).count(r"[^\x20-\x7E]") == 1
