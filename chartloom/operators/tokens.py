@@ -222,7 +222,7 @@ def suppress_duplicates(tokens: DataFrame, order: Column) -> DataFrame:
 def page_text(tokens: DataFrame) -> DataFrame:
     """Text in reading order, mean confidence and number of tokens per image."""
     return tokens.groupBy("image_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda t: t["text"]), " ").alias("text"),
+        F.array_join(F.sort_array(F.collect_list(F.struct("place", "text")))["text"], " ").alias("text"),
         F.avg("confidence").alias("confidence"),
         F.count(F.lit(1)).alias("tokens"),
     )

@@ -169,3 +169,10 @@ def test_lists_are_cleaned_once_and_sorted_without_comparing_expressions(spark):
     df = spark.createDataFrame(rows, "k int, l array<string>").select("k", T.clean_text_list(F.col("l")).alias("clean"))
     assert {r["k"]: r["clean"] for r in df.collect()} == {1: ["Ab", " x", "x", "a b"], 2: None, 3: []}
     assert "array_sort(" not in _plan(df) and _plan(df).count("lower(") == 1 and _plan(df).count(r"[^\x20-\x7E]") == 1
+
+
+def test_page_text_is_sorted_without_comparing_expressions(spark):
+    rows = [(1, (2, 0, 5), "b", 0.5), (1, (0, 7, 9), "a", 1.0), (1, (2, 0, 4), None, None), (2, (None, 1, 1), "z", 0.25), (2, (1, None, 1), "y", 0.25)]
+    df = K.page_text(spark.createDataFrame(rows, "image_id int, place struct<y:int,x:int,o:int>, text string, confidence double"))
+    assert {tuple(r) for r in df.collect()} == {(1, "a b", 0.75, 3), (2, "z y", 0.25, 2)}
+    assert "array_sort(" not in _plan(df)
