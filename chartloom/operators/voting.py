@@ -43,32 +43,46 @@ def disambiguate(df: DataFrame) -> DataFrame:
     return df.withColumns(corrected)
 
 
-def _winner(weights: dict[str, Column]) -> tuple[Column, Column]:
-    """(label, confidence) of the weighted vote over p_/c_ columns."""
+def _grouped(df: DataFrame) -> DataFrame:
+    """Add _g_<voter>: the number of the first voter with the same label, null for a vote without a label. Labels are compared
+    here, once for each row; what depends on the weights is arithmetic on numbers."""
     valid = {v: F.coalesce(~F.col(f"p_{v}").isin(UNKNOWN, "", "nan"), F.lit(False)) for v in VOTERS}
-    score = {v: F.when(valid[v], weights[v] * F.col(f"c_{v}")).otherwise(0.0) for v in VOTERS}
+    flags = df.withColumns({f"_v_{v}": valid[v] for v in VOTERS})
+    first = {}
+    for v in VOTERS:
+        same = [F.when(F.col(f"_v_{u}") & (F.col(f"p_{u}") == F.col(f"p_{v}")), i) for i, u in enumerate(VOTERS)]
+        first[f"_g_{v}"] = F.when(F.col(f"_v_{v}"), F.coalesce(*same))
+    return flags.withColumns(first).drop(*[f"_v_{v}" for v in VOTERS])
+
+
+def _weighed(df: DataFrame, weights: dict[str, Column]) -> DataFrame:
+    """Add _t_<voter>: the weighted confidences of its label's voters, null without a label; _m: the largest."""
+    scored = df.withColumns({f"_s_{v}": weights[v] * F.col(f"c_{v}") for v in VOTERS})
     totals = {}
     for v in VOTERS:
-        same = [F.when(valid[u] & (F.col(f"p_{u}") == F.col(f"p_{v}")), score[u]).otherwise(0.0) for u in VOTERS]
-        totals[v] = same[0] + same[1] + same[2] + same[3]
-    entries = [
-        F.when(valid[v], F.struct(totals[v].alias("t"), F.lit(-i).alias("o"), F.col(f"p_{v}").alias("p")))
-        for i, v in enumerate(VOTERS)
-    ]
-    best = F.greatest(*entries)
-    others = [F.when(valid[v] & (F.col(f"p_{v}") != best["p"]), totals[v]) for v in VOTERS]
-    second = F.coalesce(F.greatest(*others), F.lit(0.0))
-    label = F.coalesce(best["p"], F.lit(UNKNOWN))
-    conf = F.when(best.isNull(), 0.0).otherwise(clip(F.lit(0.5) + (best["t"] - second)))
-    return label, conf
+        same = [F.when(F.col(f"_g_{u}") == F.col(f"_g_{v}"), F.col(f"_s_{u}")).otherwise(0.0) for u in VOTERS]
+        totals[f"_t_{v}"] = F.when(F.col(f"_g_{v}").isNotNull(), same[0] + same[1] + same[2] + same[3])
+    return scored.withColumns(totals).withColumn("_m", F.greatest(*totals))
+
+
+def _of_winner(prefix: str) -> Column:
+    """A column of the first voter with the largest total, null where no vote has a label."""
+    first, *rest = VOTERS
+    out = F.when(F.col(f"_t_{first}") == F.col("_m"), F.col(f"{prefix}{first}"))
+    for v in rest:
+        out = out.when(F.col(f"_t_{v}") == F.col("_m"), F.col(f"{prefix}{v}"))
+    return out
 
 
 def vote(df: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """Add hybrid_prediction and hybrid_confidence."""
     weights = weights or DEFAULT_WEIGHTS
-    label, conf = _winner({v: F.lit(float(weights.get(v, 0.0))) for v in VOTERS})
-    out = disambiguate(df).withColumns({"hybrid_prediction": label, "hybrid_confidence": conf})
-    return out.drop(*[f"{k}_{v}" for k in "pc" for v in VOTERS])
+    weighed = _weighed(_grouped(disambiguate(df)), {v: F.lit(float(weights.get(v, 0.0))) for v in VOTERS})
+    named = weighed.withColumns({"_g": _of_winner("_g_"), "hybrid_prediction": F.coalesce(_of_winner("p_"), F.lit(UNKNOWN))})
+    second = F.greatest(*[F.when(F.col(f"_g_{v}") != F.col("_g"), F.col(f"_t_{v}")) for v in VOTERS])
+    conf = F.when(F.col("_m").isNull(), 0.0).otherwise(clip(F.lit(0.5) + (F.col("_m") - F.coalesce(second, F.lit(0.0)))))
+    out = named.withColumn("hybrid_confidence", conf)
+    return out.drop(*[f"{k}_{v}" for k in ("p", "c", "_g", "_s", "_t") for v in VOTERS], "_g", "_m")
 
 
 def weight_grid() -> list[dict[str, float]]:
@@ -85,10 +99,12 @@ def weight_search(df: DataFrame, truth: str = "truth") -> DataFrame:
     grid = F.array(
         *[F.struct(F.lit(i).alias("weight_id"), *[F.lit(w[v]).alias(v) for v in VOTERS]) for i, w in enumerate(weight_grid())]
     )
-    votes = disambiguate(df.filter(F.col(truth) != UNKNOWN)).select(truth, *[f"{k}_{v}" for k in "pc" for v in VOTERS])
-    fanned = votes.withColumn("_w", F.explode(grid)).select(truth, *[f"{k}_{v}" for k in "pc" for v in VOTERS], "_w.*")
-    label, _ = _winner({v: F.col(v) for v in VOTERS})
-    scored = fanned.select("weight_id", *VOTERS, (label == F.col(truth)).cast("bigint").alias("_hit"))
+    known = _grouped(disambiguate(df.filter(F.col(truth) != UNKNOWN)))
+    right = [F.coalesce(F.col(f"p_{v}") == F.col(truth), F.lit(False)).cast("int").alias(f"_r_{v}") for v in VOTERS]
+    numbers = known.select(*right, *[f"{k}_{v}" for k in ("c", "_g") for v in VOTERS])
+    fanned = numbers.withColumn("_w", F.explode(grid)).select(*numbers.columns, "_w.*")
+    weighed = _weighed(fanned, {v: F.col(v) for v in VOTERS})
+    scored = weighed.select("weight_id", *VOTERS, F.coalesce(_of_winner("_r_"), F.lit(0)).cast("bigint").alias("_hit"))
     return scored.groupBy("weight_id", *VOTERS).agg((F.sum("_hit") / F.count(F.lit(1))).alias("accuracy"))
 
 
