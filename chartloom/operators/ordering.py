@@ -168,15 +168,29 @@ _PIVOTS = 63
 _HELD = 1 << 14  # values of one rank's bracket that are sorted together
 
 
+_SENT = 4096  # groups whose pivots or borders every task gets
+_SALTS = 32
+
+
+def _beside(rows: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``rows`` with the one or few rows of their group in ``small``. A group may hold any share of the rows: few groups are sent to
+    every task, of many each meets its rows in ``_SALTS`` places."""
+    if not keys or small.limit(_SENT + 1).count() <= _SENT:
+        return null_safe_join(rows, F.broadcast(small), keys)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("_v", F.rand(7)), F.lit(_SALTS)).cast("int"))
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    return null_safe_join(salted, copies, [*keys, "_salt"]).drop("_salt")
+
+
 def _narrow(rows: DataFrame, keys: list[str], wanted: DataFrame, out: list[str]) -> DataFrame:
     """For each wanted rank the part of the rows between two pivots that holds it: _lo, _hi, _size and the rank inside it.
 
     Pivots are quantiles of a mergeable sketch, so a part holds a small share of the rows or a single value.
     """
     probs = [float((i + 1) / (_PIVOTS + 1)) for i in range(_PIVOTS)]
-    pivots = rows.groupBy(*keys).agg(F.percentile_approx("_v", probs, 10_000).alias("_p"))
+    pivots = cut_lineage(rows.groupBy(*keys).agg(F.percentile_approx("_v", probs, 10_000).alias("_p")))
     part = F.size(F.filter("_p", lambda p: p < F.col("_v")))
-    parts = null_safe_join(rows, pivots, keys).withColumn("_b", part).groupBy(*keys, "_b").agg(
+    parts = _beside(rows, pivots, keys).withColumn("_b", part).groupBy(*keys, "_b").agg(
         F.count(F.lit(1)).alias("_size"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
     )
     # at most one row per pivot and key
@@ -206,7 +220,7 @@ def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: Seq
         found = single if found is None else found.unionByName(single)
         spread = brackets.filter("_lo <> _hi")
         few = spread.filter(F.col("_size") <= held)
-        within = lambda some: null_safe_join(rows, some, keys).filter("_v BETWEEN _lo AND _hi")  # noqa: E731, B023
+        within = lambda some: _beside(rows, some, keys).filter("_v BETWEEN _lo AND _hi")  # noqa: E731, B023
         kept = within(few).groupBy(*named, "_f", "_rank").agg(F.sort_array(F.collect_list("_v")).alias("_all"))
         found = found.unionByName(kept.select(*named, "_f", F.element_at("_all", (F.col("_rank") + 1).cast("int")).alias("_value")))
         wanted = spread.filter(F.col("_size") > held).select(*named, "_rank", "_f")

@@ -86,3 +86,17 @@ def test_shuffle_files_go_with_the_lineage(spark):
         time.sleep(0.1)
     assert disk.getAllFiles().size() <= before
     assert out.agg(F.sum("count")).first()[0] == 1000
+
+
+@pytest.mark.parametrize("sent", [4096, 0])
+def test_rows_of_a_group_meet_its_pivots_in_many_tasks(spark, monkeypatch, request, sent):
+    monkeypatch.setattr(O, "_SENT", sent)
+    values = [float((i * 7919) % 4001) for i in range(4000)]
+    rows = spark.createDataFrame([(k, v) for k in ("a", None) for v in values], "k string, _v double").repartition(8)
+    for name, value in (("adaptive.coalescePartitions.enabled", "false"), ("autoBroadcastJoinThreshold", "-1")):
+        before = spark.conf.get(f"spark.sql.{name}")
+        request.addfinalizer(lambda n=name, v=before: spark.conf.set(f"spark.sql.{n}", v))
+        spark.conf.set(f"spark.sql.{name}", value)
+    met = O._beside(rows, spark.createDataFrame([("a", 1), (None, 2)], "k string, p int"), ["k"])
+    assert met.groupBy("k", "p").count().count() == 2 and met.count() == 8000
+    assert met.filter("k = 'a'").select(F.spark_partition_id()).distinct().count() > 1
