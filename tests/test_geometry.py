@@ -131,6 +131,29 @@ def test_values_of_all_chart_types_travel_together(spark):
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 3
 
 
+def test_slices_near_a_tie_are_summed_in_the_order_of_their_files(spark, tmp_path):
+    # one by one these areas add up to 20735.999999999996, as most partial sums do not: 56.35000000000001 degrees or 56.349999999999994
+    areas = [4023.18, 3198.0, 3759.06, 3189.8999999999996, 3320.1, 3245.7599999999998]
+    for i, area in enumerate(areas):
+        row = [(1, i, "pie_slice", 0, 0, 1, 1, 1, 1, area)]
+        spark.createDataFrame(row, "image_id bigint, seq bigint, kind string, x int, y int, w int, h int, x2 int, y2 int, area double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/{i}")
+    paths = [f"{tmp_path}/{i}" for i in range(len(areas))]
+    total = 0.0
+    for area in areas:
+        total += area
+    want = {i: (math.floor(a / total * 3600 + 0.5) / 10, math.floor(a / total * 1000 + 0.5) / 10) for i, a in enumerate(areas)}
+    assert want[5] == (56.4, 15.7)
+    spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 27))  # each file is a task of its own
+    try:
+        for order in (paths, paths[::-1]):
+            elements = spark.read.parquet(*order)
+            assert {r.seq: (r.angle, r.percentage) for r in V.slice_values(elements, 640, 480).collect()} == want
+            kinds = spark.createDataFrame([(1, "pie_chart")], "image_id bigint, chart_type string")
+            assert {r.seq: r.value for r in V.extract_values(elements, kinds, 640, 480).collect()} == {i: w[0] for i, w in want.items()}
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_points_travel_to_four_cells(spark):
     points = spark.createDataFrame([(x, y) for x in range(-40, 41, 7) for y in range(-40, 41, 9)], "x int, y int")
     for radius in (8, 90.0):
