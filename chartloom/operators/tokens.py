@@ -6,6 +6,7 @@ and an integer box x1, y1, x2, y2.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -33,15 +34,15 @@ def _cells(df: DataFrame) -> DataFrame:
     return solid.withColumn("cx", F.explode(span("x1", "x2"))).withColumn("cy", F.explode(span("y1", "y2")))
 
 
-def overlap_classes(left: DataFrame, right: DataFrame, threshold: float = MATCH_IOU) -> DataFrame:
-    """Pairs of distinct (text, box) classes of an image that match by overlap alone.
+def overlap_classes(left: DataFrame, right: DataFrame, threshold: float = MATCH_IOU, named: Sequence[str] = ()) -> DataFrame:
+    """Pairs of distinct (text, box) classes of an image that match by overlap alone, with the columns ``named`` that a class determines.
 
     Boxes meet in the grid cells they share and are compared only in the cell that holds the
     corner of their intersection, so a pair appears once. Copies of a token are one class, and
     classes of equal text are left out: they match anyway. Token tables are exploded text, many times
     the files that Spark estimates them by, so joins with them name their kind: none is broadcast.
     """
-    cols = ["image_id", "norm", *_BOX]
+    cols = ["image_id", "norm", *_BOX, *named]
     a = _cells(left.select(*cols).distinct()).select("image_id", "cx", "cy", *[F.col(c).alias(f"l_{c}") for c in cols[1:]])
     b = _cells(right.select(*cols).distinct()).select("image_id", "cx", "cy", *[F.col(c).alias(f"r_{c}") for c in cols[1:]])
     here = (F.floor(F.greatest("l_x1", "r_x1") / _CELL) == F.col("cx")) & (
@@ -91,32 +92,37 @@ def _token_table(left: DataFrame, right: DataFrame) -> DataFrame:
     return null_safe_join(numbered, classes, keys).drop("_served")
 
 
-# one statement, as a round is planned again and again
-_SETTLED = f"""
+# a round is planned again and again, so it is written in SQL; each part is made once and lets go of its shuffle files
+_RANKED = f"""
 WITH named AS (SELECT *, shiftright(idx, {_BLOCK_BITS}) AS blk FROM {{tokens}} WHERE norm <> ''),
   sizes AS (SELECT image_id, side, norm, blk, count(*) AS n FROM named GROUP BY ALL),
-  carry AS (SELECT image_id, side, norm, blk, sum(n) OVER (PARTITION BY image_id, side, norm ORDER BY blk) - n AS off FROM sizes),
-  ranked AS (
-    SELECT image_id, side, norm, pos, confidence, cls, off + row_number() OVER (PARTITION BY image_id, side, norm, blk ORDER BY idx) AS rank
-    FROM named JOIN carry USING (image_id, side, norm, blk)),
-  alive AS (
-    SELECT * FROM {{edges}}
-    JOIN (SELECT cls AS lc, min(pos) AS f FROM {{tokens}} WHERE side = 0 GROUP BY cls) USING (lc)
-    JOIN (SELECT cls AS rc, max(struct(confidence, -pos AS place)) AS t FROM {{tokens}} WHERE side = 1 GROUP BY cls) USING (rc)),
-  best AS (SELECT lc, max(t) AS best FROM alive GROUP BY lc),
-  suitor AS (SELECT rc, min(f) AS suitor FROM alive GROUP BY rc),
-  level AS (
-    SELECT image_id, norm, rank, l.pos AS l_pos, r.pos AS r_pos,
-           coalesce(best > struct(r.confidence, -r.pos AS place), FALSE) OR coalesce(suitor < l.pos, FALSE) AS doubt
-    FROM (SELECT * FROM ranked WHERE side = 0) l JOIN (SELECT * FROM ranked WHERE side = 1) r USING (image_id, norm, rank)
-    LEFT JOIN best ON lc = l.cls LEFT JOIN suitor ON rc = r.cls),
-  settled AS (SELECT image_id, norm, coalesce(min(rank) FILTER (WHERE doubt) - 1, max(rank)) AS n FROM level GROUP BY image_id, norm),
+  carry AS (SELECT image_id, side, norm, blk, sum(n) OVER (PARTITION BY image_id, side, norm ORDER BY blk) - n AS off FROM sizes)
+SELECT image_id, side, norm, pos, confidence, cls, off + row_number() OVER (PARTITION BY image_id, side, norm, blk ORDER BY idx) AS rank
+FROM named JOIN carry USING (image_id, side, norm, blk)
+"""
+_ALIVE = """
+SELECT * FROM {edges}
+JOIN (SELECT cls AS lc, min(pos) AS f FROM {tokens} WHERE side = 0 GROUP BY cls) USING (lc)
+JOIN (SELECT cls AS rc, max(struct(confidence, -pos AS place)) AS t FROM {tokens} WHERE side = 1 GROUP BY cls) USING (rc)
+"""
+_LEVEL = """
+WITH best AS (SELECT lc, max(t) AS best FROM {alive} GROUP BY lc),
+  suitor AS (SELECT rc, min(f) AS suitor FROM {alive} GROUP BY rc)
+SELECT image_id, norm, rank, l.pos AS l_pos, r.pos AS r_pos,
+       coalesce(best > struct(r.confidence, -r.pos AS place), FALSE) OR coalesce(suitor < l.pos, FALSE) AS doubt
+FROM (SELECT * FROM {ranked} WHERE side = 0) l JOIN (SELECT * FROM {ranked} WHERE side = 1) r USING (image_id, norm, rank)
+LEFT JOIN best ON lc = l.cls LEFT JOIN suitor ON rc = r.cls
+"""
+_SETTLED = """
+WITH best AS (SELECT lc, max(t) AS best FROM {alive} GROUP BY lc),
+  suitor AS (SELECT rc, min(f) AS suitor FROM {alive} GROUP BY rc),
+  settled AS (SELECT image_id, norm, coalesce(min(rank) FILTER (WHERE doubt) - 1, max(rank)) AS n FROM {level} GROUP BY image_id, norm),
   rest AS (
     SELECT image_id, norm, min(pos) FILTER (WHERE side = 0) AS head, max(struct(confidence, -pos AS place)) FILTER (WHERE side = 1) AS top
-    FROM ranked LEFT JOIN settled USING (image_id, norm) WHERE rank > coalesce(n, 0) GROUP BY image_id, norm)
-SELECT image_id, l_pos, r_pos FROM level JOIN settled USING (image_id, norm) WHERE rank <= n
+    FROM {ranked} LEFT JOIN settled USING (image_id, norm) WHERE rank > coalesce(n, 0) GROUP BY image_id, norm)
+SELECT image_id, l_pos, r_pos FROM {level} JOIN settled USING (image_id, norm) WHERE rank <= n
 UNION ALL
-SELECT image_id, f, -t.place FROM alive JOIN best USING (lc) JOIN suitor USING (rc)
+SELECT image_id, f, -t.place FROM {alive} JOIN best USING (lc) JOIN suitor USING (rc)
 LEFT JOIN (SELECT image_id, norm AS l_norm, head AS l_head, top AS l_top FROM rest) USING (image_id, l_norm)
 LEFT JOIN (SELECT image_id, norm AS r_norm, head AS r_head, top AS r_top FROM rest) USING (image_id, r_norm)
 WHERE t = best AND f = suitor AND (l_norm = '' OR f >= l_head) AND (r_norm = '' OR t <= r_top)
@@ -132,7 +138,11 @@ def _settled(tokens: DataFrame, edges: DataFrame) -> DataFrame:
     the other's best, also against what these text pairs leave of its text. Ranks are taken in blocks of the fixed numbering, so a text of any
     number of tokens is spread over tasks.
     """
-    return tokens.sparkSession.sql(_SETTLED, tokens=tokens, edges=edges)
+    spark = tokens.sparkSession
+    ranked = cut_lineage(spark.sql(_RANKED, tokens=tokens))
+    alive = cut_lineage(spark.sql(_ALIVE, tokens=tokens, edges=edges))
+    level = cut_lineage(spark.sql(_LEVEL, ranked=ranked, alive=alive))
+    return spark.sql(_SETTLED, ranked=ranked, alive=alive, level=level)
 
 
 # what stays for the next round: texts that no edge touched are complete
@@ -158,12 +168,9 @@ def match_tokens(left: DataFrame, right: DataFrame) -> DataFrame:
     number of tokens, and no image or text has to fit into a task.
     """
     tokens = cut_lineage(_token_table(left, right))
-    classes = tokens.groupBy("image_id", "side", "norm", *_BOX).agg(F.min("cls").alias("cls"))
-    ends = [classes.filter(F.col("side") == side).select("image_id", F.col("cls").alias(f"{s}c"), *[F.col(c).alias(f"{s}_{c}") for c in ("norm", *_BOX)]) for side, s in ((0, "l"), (1, "r"))]
-    near = overlap_classes(tokens.filter("side = 0"), tokens.filter("side = 1"))
-    for s, end in zip("lr", ends):
-        near = near.join(end, ["image_id", *[f"{s}_{c}" for c in ("norm", *_BOX)]])
-    edges = cut_lineage(near.select("image_id", "lc", "rc", "l_norm", "r_norm"))
+    # classes keep their names: found again by text and box, all pairs would be shuffled twice more
+    near = overlap_classes(tokens.filter("side = 0"), tokens.filter("side = 1"), named=["cls"])
+    edges = cut_lineage(near.select("image_id", F.col("l_cls").alias("lc"), F.col("r_cls").alias("rc"), "l_norm", "r_norm"))
     done, open_edges = None, not edges.isEmpty()
     while True:
         pairs = cut_lineage(_settled(tokens, edges))

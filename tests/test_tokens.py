@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from chartloom.functions import text as T
 from chartloom.operators import tokens as K
+from chartloom.session import cut_lineage
 
 SCHEMA = "image_id bigint, engine string, pos bigint, text string, confidence double, x1 int, y1 int, x2 int, y2 int"
 
@@ -176,3 +177,12 @@ def test_page_text_is_sorted_without_comparing_expressions(spark):
     df = K.page_text(spark.createDataFrame(rows, "image_id int, place struct<y:int,x:int,o:int>, text string, confidence double"))
     assert {tuple(r) for r in df.collect()} == {(1, "a b", 0.75, 3), (2, "z y", 0.25, 2)}
     assert "array_sort(" not in _plan(df)
+
+
+def test_a_round_holds_few_shuffles_at_a_time(spark):
+    """What several parts of a round read is written once; in one statement each part would shuffle the tokens anew."""
+    schema = "image_id bigint, engine string, pos bigint, text string, confidence double, x1 int, y1 int, x2 int, y2 int"
+    one, other = (spark.createDataFrame([(1, e, i, f"{e}{i % 5}", 0.1 * i, 9 * i, 0, 9 * i + 12, 12) for i in range(20)], schema) for e in "ab")
+    tokens = K._token_table(one, other)
+    edges = K.overlap_classes(tokens.filter("side = 0"), tokens.filter("side = 1"), named=["cls"]).selectExpr("image_id", "l_cls AS lc", "r_cls AS rc", "l_norm", "r_norm")
+    assert K._settled(cut_lineage(tokens), cut_lineage(edges))._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 16
